@@ -87,7 +87,7 @@ def with_id(docs: DataFrame) -> DataFrame:
 
 
 def _zipped(batches):
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for b in batches:
         k = b.schema.get_field_index("z")
         z = pa.array([pack.compress(x) for x in b.column(k).to_pylist()], pa.binary())

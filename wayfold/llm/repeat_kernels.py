@@ -15,6 +15,9 @@ from __future__ import annotations
 import numpy as np
 
 LENGTH, Q = 100, 25
+#: STEP windows in a row share the CORE bytes in their middle.
+STEP = 8
+CORE = LENGTH - STEP + 1
 WIDTH = LENGTH - Q + 1
 _RNG = np.random.default_rng(20240607)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,17 +70,38 @@ def deepen(ids: np.ndarray, depth: int, to: int) -> np.ndarray:
     return ids
 
 
-def window_ids(pre: Prefixes) -> np.ndarray:
-    """Identifier of the LENGTH-byte window at each offset."""
-    return deepen(pre.fixed(Q), Q, LENGTH)
+def core_ids(pre: Prefixes) -> np.ndarray:
+    """Identifier of the CORE bytes at each offset."""
+    return deepen(pre.fixed(Q), Q, CORE)
+
+
+def contexts(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The STEP - 1 bytes before each core and those after it, as numbers; 0 beyond the text."""
+    out = []
+    for shift in (1 - STEP, CORE):
+        where = at[:, None] + np.arange(shift, shift + STEP - 1)
+        got = np.zeros((len(at), 8), np.uint8)
+        got[:, : STEP - 1] = np.where((where >= 0) & (where < len(text)), text[np.clip(where, 0, len(text) - 1)], 0)
+        out.append(got.view(np.uint64).ravel())
+    return out[0], out[1]
+
+
+def window_ids(core: np.ndarray, left: np.ndarray, right: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Identifier of the window that starts i bytes before its core: the core's, refined by i bytes on
+    the left and STEP - 1 - i on the right."""
+    i = i.astype(np.uint64)
+    bits, all_bits = np.uint64(8), np.uint64(8 * (STEP - 1))
+    left = (left >> (all_bits - bits * i)) | (i << np.uint64(60))
+    right = np.where(i == np.uint64(0), right, right & ((np.uint64(1) << (all_bits - bits * i)) - np.uint64(1)))
+    return _mixed(_mixed(core * _MIX + left) * _MIX + right)
 
 
 def anchor_ranges(data: np.ndarray, bounds: np.ndarray):
     """The windows of the texts data[bounds[i]:bounds[i+1]], as runs that share an anchor.
 
     Returns (bucket of the anchor, identifier of the run's whole span, text, first
-    window's offset in data, number of windows)."""
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    window's offset in data, number of windows, bytes from there to the anchor)."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
     if len(data) < LENGTH:
         return none
     pre = Prefixes(data)
@@ -106,7 +130,7 @@ def anchor_ranges(data: np.ndarray, bounds: np.ndarray):
     text = np.searchsorted(bounds, lo, side="right") - 1
     n = np.minimum(end, stop[text]) - lo
     span = pre.spans(lo, lo + n + LENGTH - 1) ^ ((anchor[lo] - lo).astype(np.uint64) * np.uint64(_BASE)) ^ (n.astype(np.uint64) << np.uint64(55))
-    return grams[anchor[lo]], span, text, lo, n
+    return grams[anchor[lo]], span, text, lo, n, anchor[lo] - lo
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):

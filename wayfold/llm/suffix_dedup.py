@@ -10,12 +10,15 @@ doc_id, or in the same document at an earlier offset; strings are judged on the
 2. *Refinement.*  Rows meet by bucket and are sorted by span identifier: all but the
    first of equal spans are repeats.  A bucket that holds one span is final.
 3. *Recursive refinement.*  Where a bucket holds several spans, the first of each is opened
-   into its windows.  Their identifiers come from those of the q-grams at later offsets,
-   each step reusing the last (25, 50 and 100 bytes); windows meet by identifier, and
-   all but the first of equal windows are repeats.
+   into cores: 93 bytes that eight windows in a row share.  Their identifiers come from those of
+   the q-grams at later offsets, each step reusing the last (25, 50 and 93 bytes).  Cores
+   meet by identifier; a core that is alone is final, and the windows of the others are
+   told apart by the seven bytes on either side, which travel along.  All but the
+   first of equal windows are repeats.
 4. The repeats of a document are brought to its text and cut out.
 
 Shuffles move rows of some 25 bytes, one for about 40 bytes of text, and the texts twice, compressed.
+Repeats that are settled early travel with those rows, as spans of negative n.
 No group is gathered in a task: tasks sort hash partitions of bounded size, and repeats
 within a run have gone before.  Buckets are named by 64-bit hashes.
 
@@ -37,13 +40,14 @@ from pyspark.sql import functions as F
 from . import common
 from . import repeat_kernels as rk
 
-LENGTH = rk.LENGTH
+LENGTH, STEP = rk.LENGTH, rk.STEP
 #: Anchor rows that are settled together before they leave a task.
 RUN = 1_000_000
 #: Bytes of text for each task of a refinement.
 TASK_BYTES = 24 << 20
 _ROWS = "bucket int, span long, doc long, start long, n long"
-_SPANS = "doc long, kind int, start long, end long"
+_CORES = "core long, left long, right long, doc long, start long, n long"
+_SPANS = "doc long, kind int, start long, end long, anchor long"
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -75,30 +79,35 @@ def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def _early(doc, start, end):
+    """Spans that repeat, merged, with a number that spreads them over tasks."""
+    d, s, e = rk.merged(doc, start, end)
+    return d, s, e, rk._mixed(d.view(np.uint64) + np.uint64(1)).view(np.int64)
+
+
 def _anchors(batches):
-    """Rows of step 1: kind 0 leave for their bucket, spans of kind 1 are repeats already."""
+    """Rows of step 1; n holds the number of windows and, from bit 8 on, the way to the anchor."""
     held: list[tuple] = []
     count = 0
 
     def settle():
         bucket, span, doc, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order, late, new = rk.not_first(span, doc, start)
-        go, gone = order[new], order[late]
-        go.sort()
-        d, s, e = rk.merged(doc[gone], start[gone], start[gone] + n[gone] + LENGTH - 1)
+        go, gone = np.sort(order[new]), order[late]
         for at in range(0, len(go), 200_000):
             k = go[at : at + 200_000]
-            yield _batch("kind int, " + _ROWS, np.zeros(len(k)), bucket[k], span[k], doc[k], start[k], n[k])
+            yield _batch(_ROWS, bucket[k], span[k], doc[k], start[k], n[k])
+        d, s, e, spread = _early(doc[gone], start[gone], start[gone] + (n[gone] & 255) + LENGTH - 1)
         if len(d):
-            yield _batch("kind int, " + _ROWS, np.ones(len(d)), np.zeros(len(d)), np.zeros(len(d)), d, s, e - s)
+            yield _batch(_ROWS, spread >> 32, spread, d, s, s - e)
 
     for b in batches:
         ids, texts = b.column("id").to_pylist(), b.column("data").to_pylist()
         for parts, doc, base in _slices(ids, texts):
             data, bounds = _flat(parts)
-            bucket, span, text, lo, n = rk.anchor_ranges(data, bounds)
+            bucket, span, text, lo, n, way = rk.anchor_ranges(data, bounds)
             doc, base = np.array(doc, np.int64), np.array(base, np.int64)
-            held.append(((bucket >> np.uint64(32)).astype(np.uint32).view(np.int32), span.view(np.int64), doc[text], lo - bounds[text] + base[text], n))
+            held.append(((bucket >> np.uint64(32)).astype(np.uint32).view(np.int32), span.view(np.int64), doc[text], lo - bounds[text] + base[text], n | way << 8))
             count += len(n)
             if count > RUN:
                 yield from settle()
@@ -120,11 +129,14 @@ def _refine(batches):
     got = _gathered(batches)
     if got is None:
         return
-    bucket, span, doc, start, n = got
+    k = got[4] < 0
+    if k.any():
+        yield _batch(_SPANS, got[2][k], np.ones(k.sum()), got[3][k], got[3][k] - got[4][k], np.zeros(k.sum()))
+    bucket, span, doc, start, n = (x[~k] for x in got)
     order, late, new = rk.not_first(span, doc, start)
     k = order[late]
     if len(k):
-        yield _batch(_SPANS, doc[k], np.ones(len(k)), start[k], start[k] + n[k] + LENGTH - 1)
+        yield _batch(_SPANS, doc[k], np.ones(len(k)), start[k], start[k] + (n[k] & 255) + LENGTH - 1, np.zeros(len(k)))
     k = order[new]
     k = k[np.argsort(bucket[k], kind="stable")]
     same = bucket[k][1:] == bucket[k][:-1]
@@ -133,60 +145,96 @@ def _refine(batches):
     several[:-1] |= same
     k = k[several]
     if len(k):
-        yield _batch(_SPANS, doc[k], np.full(len(k), 2), start[k], start[k] + n[k])
+        yield _batch(_SPANS, doc[k], np.full(len(k), 2), start[k], start[k] + (n[k] & 255), start[k] + (n[k] >> 8))
+
+
+def _cores_of(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray):
+    """The cores of windows lo..hi-1 of each span: (identifier, left, right, place of the core, first and last i).
+
+    A window that starts at anchor - o has the core at anchor - o // STEP * STEP, so equal
+    windows have equal cores."""
+    first, last = (anchor - hi + 1) // STEP, (anchor - lo) // STEP
+    count = last - first + 1
+    span = np.repeat(np.arange(len(lo)), count)
+    block = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count) + first[span]
+    at = anchor[span] - STEP * block
+    i0 = np.maximum(0, at - hi[span] + 1)
+    i1 = np.minimum(STEP - 1, at - lo[span])
+    core = np.zeros(len(at), np.uint64)
+    for begin in range(0, len(text), rk.SLICE // 2):
+        own = np.flatnonzero((at >= begin) & (at < begin + rk.SLICE // 2))
+        if len(own):
+            core[own] = rk.core_ids(rk.Prefixes(text[begin : begin + rk.SLICE // 2 + LENGTH]))[at[own] - begin]
+    left, right = rk.contexts(text, at)
+    return core, left, right, at, i0, i1
 
 
 def _open(batches):
-    """Step 3: the windows of the spans to open, from rows (id, z, spans)."""
+    """Step 3: the cores of the spans to open, from rows (id, z, spans); n holds the first and last window."""
     unzip = zstandard.ZstdDecompressor()
+    for b in batches:
+        for doc, z, spans in zip(b.column("id").to_pylist(), b.column("z").to_pylist(), b.column("spans"), strict=True):
+            text = np.frombuffer(unzip.decompress(z), np.uint8)
+            lo, hi, anchor = (x.to_numpy() for x in spans.values.flatten())
+            fits = hi + LENGTH - 1 <= len(text)  # else of another row with this doc_id
+            core, left, right, at, i0, i1 = _cores_of(text, lo[fits], hi[fits], anchor[fits])
+            yield core.view(np.int64), left.view(np.int64), right.view(np.int64), np.full(len(at), doc, np.int64), at, i0 | i1 << 8
+
+
+def _cores(batches):
+    """_open, with cores that repeat in a run of texts settled before they leave."""
     held: list[tuple] = []
     count = 0
 
     def settle():
-        ids, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, late, new = rk.not_first(ids, doc, start)
+        core, left, right, doc, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        whole = rk._mixed(rk._mixed(core.view(np.uint64) + left.view(np.uint64) * rk._MIX) + right.view(np.uint64) * rk._MIX + n.view(np.uint64))
+        order, late, new = rk.not_first(whole, doc, at)
         go, gone = np.sort(order[new]), order[late]
-        for at in range(0, len(go), 200_000):
-            k = go[at : at + 200_000]
-            yield _batch("kind int, span long, doc long, start long, n long", np.zeros(len(k)), ids[k], doc[k], start[k], np.zeros(len(k)))
-        d, s, e = rk.merged(doc[gone], start[gone], start[gone] + LENGTH)
+        for k in (go[x : x + 200_000] for x in range(0, len(go), 200_000)):
+            yield _batch(_CORES, core[k], left[k], right[k], doc[k], at[k], n[k])
+        d, s, e, spread = _early(doc[gone], at[gone] - (n[gone] >> 8), at[gone] - (n[gone] & 255) + LENGTH)
         if len(d):
-            yield _batch("kind int, span long, doc long, start long, n long", np.ones(len(d)), np.zeros(len(d)), d, s, e - s)
-
-    for b in batches:
-        for doc, z, spans in zip(b.column("id").to_pylist(), b.column("z").to_pylist(), b.column("spans"), strict=True):
-            text = np.frombuffer(unzip.decompress(z), np.uint8)
-            flat = spans.values.flatten()
-            lo, hi = (x.to_numpy() for x in flat)
-            for at in range(0, len(text) - LENGTH + 1, rk.SLICE // 2):
-                last = min(at + rk.SLICE // 2, len(text) - LENGTH + 1)
-                a, z2 = np.maximum(lo, at), np.minimum(hi, last)
-                own = z2 > a
-                if not own.any():
-                    continue
-                mask = rk.covered(last - at, a[own] - at, z2[own] - at)
-                where = np.flatnonzero(mask)
-                ids = rk.window_ids(rk.Prefixes(text[at : last + LENGTH - 1]))
-                held.append((ids[where].view(np.int64), np.full(len(where), doc, np.int64), where + at))
-                count += len(where)
-                if count > RUN:
-                    yield from settle()
-                    held, count = [], 0
+            yield _batch(_CORES, spread, s, e, d, s, np.full(len(d), -1))
+
+    for row in _open(batches):
+        held.append(row)
+        count += len(row[0])
+        if count > RUN:
+            yield from settle()
+            held, count = [], 0
     if held:
         yield from settle()
 
 
 def _last(batches):
-    """All but the first of equal windows, in one hash partition of identifiers."""
+    """All but the first of equal windows, in one hash partition of cores."""
     got = _gathered(batches)
     if got is None:
         return
-    ids, doc, start = got
+    k = got[5] < 0
+    if k.any():
+        yield _batch(_SPANS, got[3][k], np.ones(k.sum()), got[1][k], got[2][k], np.zeros(k.sum()))
+    core, left, right, doc, at, n = (x[~k] for x in got)
+    order = np.argsort(core, kind="stable")
+    same = core[order][1:] == core[order][:-1]
+    several = np.zeros(len(order), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    k = order[several]
+    if not len(k):
+        return
+    i0, i1 = n[k] & 255, n[k] >> 8
+    count = i1 - i0 + 1
+    row = np.repeat(k, count)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(i0, count)
+    ids = rk.window_ids(core[row].view(np.uint64), left[row].view(np.uint64), right[row].view(np.uint64), i)
+    doc, start = doc[row], at[row] - i
     order, late, _ = rk.not_first(ids, doc, start)
     k = order[late]
     if len(k):
         d, s, e = rk.merged(doc[k], start[k], start[k] + LENGTH)
-        yield _batch(_SPANS, d, np.ones(len(d)), s, e)
+        yield _batch(_SPANS, d, np.ones(len(d)), s, e, np.zeros(len(d)))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -194,16 +242,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     data = common.with_id(docs).select("id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     tasks = common.task_count(docs, TASK_BYTES)
-    rows = common.stash(data.mapInArrow(_anchors, "kind int, " + _ROWS), "anchors")
-    met = rows.filter("kind = 0").drop("kind").repartition(tasks, "bucket").mapInArrow(_refine, _SPANS)
-    found = common.stash(met, "refined")
-    early = rows.filter("kind = 1").select("doc", F.lit(1).alias("kind"), "start", (F.col("start") + F.col("n")).alias("end"))
-    todo = found.filter("kind = 2").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    opened = common.text_rows(docs).drop("doc_id").join(todo.hint("merge"), "id").mapInArrow(_open, "kind int, span long, doc long, start long, n long")
-    opened = common.stash(opened, "windows")
-    late = opened.filter("kind = 0").select("span", "doc", "start").repartition(tasks, "span").mapInArrow(_last, _SPANS)
-    more = opened.filter("kind = 1").select("doc", F.lit(1).alias("kind"), "start", (F.col("start") + F.col("n")).alias("end"))
-    spans = early.unionByName(found.filter("kind = 1")).unionByName(late).unionByName(more)
+    found = common.stash(data.mapInArrow(_anchors, _ROWS).repartition(tasks, "bucket").mapInArrow(_refine, _SPANS), "refined")
+    todo = found.filter("kind = 2").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", "end", "anchor")).alias("spans"))
+    cores = common.text_rows(docs).drop("doc_id").join(todo.hint("merge"), "id").select("id", "z", "spans").mapInArrow(_cores, _CORES)
+    late = cores.repartition(tasks, "core").mapInArrow(_last, _SPANS)
+    spans = found.filter("kind = 1").unionByName(late)
     return spans.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
