@@ -8,10 +8,13 @@ arise from a text's own ids; decode() replaces them, as the library does.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,39 +24,28 @@ from .token_automaton import TokenAutomaton, read_byte_bpe
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces remembered in each worker.
-MOST = 300_000
 _CODECS: dict[str, Codec] = {}
 
 
 class Codec:
-    def __init__(self, path: str):
-        self.automaton = TokenAutomaton.load(path)
+    def __init__(self, path: str, automaton: TokenAutomaton):
+        self.automaton = automaton
         self.added = read_byte_bpe(path)[2]
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pieces = regex.compile(PATTERN).findall
-        self.known: dict[str, list[int]] = {}
-        self.memo = words.WordMemo(self._digestible, MOST)
 
     def split(self, part: str) -> list[str]:
-        if self.special is None or not self.special.search(part):
-            return self.pieces(part)
-        return [p for x in self.special.split(part) if x for p in ([x] if x in self.added else self.pieces(x))]
-
-    def encode_batch(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each part, each a text or what words.WordMemo cuts from one."""
-        if len(self.known) > MOST:
-            self.known.clear()
-        split = [self.split(p) for p in parts]
-        new = list({p for x in split for p in x}.difference(self.known))
-        found = self.automaton.encode_words([p.encode() for p in new])
-        self.known.update(zip(new, ([self.added[p]] if p in self.added else ids for p, ids in zip(new, found, strict=True)), strict=True))
-        get = self.known.__getitem__
-        out = [[k for p in x for k in get(p)] for x in split]
-        for p in new:
-            if len(p) > words.LONGEST:
-                del self.known[p]
-        return out
+        if any(x in part for x in self.added):
+            return [p for x in self.special.split(part) if x for p in ([x] if x in self.added else self.pieces(x))]
+        return self.pieces(part)
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        split = [self.split(t) for t in texts]
+        new = list({p for x in split for p in x})
+        ids = dict(zip(new, self.automaton.encode_words([p.encode() for p in new]), strict=True))
+        ids |= {p: [k] for p, k in self.added.items()}
+        return [[k for p in x for k in ids[p]] for x in split]
 
     def decode_bytes(self, ids) -> bytes:
         return self.automaton.decode(ids)
@@ -61,34 +53,53 @@ class Codec:
     def decode(self, ids) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def _digestible(self, parts: list[str]) -> list[tuple]:
-        return [(len(ids), ",".join(map(str, ids)), self.decode_bytes(ids)) for ids in self.encode_batch(parts)]
-
-    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """(number of ids, digest of the ids, digest of the decoded text) of each text."""
-        out = []
-        for run in words.slices(texts):
-            for values in self.memo.of(run):
-                n, ids, data = zip(*values, strict=True)
-                text = b"".join(data).decode("utf-8", "replace")
-                out.append((sum(n), hashlib.sha256(",".join(filter(None, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+        """(number of ids, digest of the ids, digest of the decoded text), each of all texts."""
+        out: tuple[list, list, list] = ([], [], [])
+        for run in words.runs(texts):
+            p = words.Parts(run, lower=False)
+            groups = [self.automaton.encode_words(p.stems), self.automaton.encode_words(p.tails), self.encode_batch(p.others)]
+            size = p.spell(*[words.Ragged.of([(len(x),) for x in g], np.int64) for g in groups])
+            shown = p.texts(p.spell(*[words.Ragged.of([("%d," * len(x) % tuple(x)).encode() for x in g], np.uint8) for g in groups]))
+            data = p.texts(p.spell(*[words.Ragged.of([self.decode_bytes(x) for x in g], np.uint8) for g in groups]))
+            out[0].extend(p.texts(size).sums().tolist())
+            for r, column, strip in ((shown, out[1], 1), (data, out[2], 0)):
+                flat = memoryview(np.ascontiguousarray(r.flat))
+                for a, b in zip(r.offsets[:-1].tolist(), r.offsets[1:].tolist(), strict=True):
+                    chunk = flat[a : max(a, b - strip)]
+                    if not strip:
+                        chunk = bytes(chunk).decode("utf-8", "replace").encode()
+                    column.append(hashlib.sha256(chunk).hexdigest())
         return out
 
 
-def codec(path: str) -> Codec:
-    """One in each worker; compiling takes seconds and the tables some 50 MB, whatever the data."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+@functools.cache
+def compiled(path: str) -> TokenAutomaton:
+    """Compiled once, on the driver; some 25 MB for these vocabularies, whatever the data."""
+    return TokenAutomaton.load(path)
+
+
+def shared_codec(spark: SparkSession, path: str):
+    """A function that gives each worker its codec."""
+    shared = spark.sparkContext.broadcast(compiled(path))
+
+    def codec() -> Codec:
+        if path not in _CODECS:
+            _CODECS[path] = Codec(path, shared.value)
+        return _CODECS[path]
+
+    return codec
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids."""
 
+    codec = shared_codec(docs.sparkSession, path)
+
     def run(batches):
-        c = codec(path)
+        c = codec()
         for b in batches:
-            ids = [x for part in words.slices(b.column("text").to_pylist()) for x in c.encode_batch(part)]
+            ids = [c.encode_batch([t])[0] for t in pc.fill_null(b.column("text"), "").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -97,8 +108,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, text of rows (doc_id, ids)."""
 
+    codec = shared_codec(rows.sparkSession, path)
+
     def run(batches):
-        c = codec(path)
+        c = codec()
         for b in batches:
             text = [c.decode(x or []) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["doc_id", "text"])
@@ -109,10 +122,12 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode, both through the automaton."""
 
+    codec = shared_codec(docs.sparkSession, path)
+
     def run(batches):
-        c = codec(path)
+        c = codec()
         for b in batches:
-            n, ids, text = zip(*c.digests(b.column("text").to_pylist()), strict=True) if b.num_rows else ((), (), ())
+            n, ids, text = c.digests(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import common
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 SMOOTHING, EVIDENCE = 0.5, 200
@@ -30,6 +30,20 @@ _FACTORS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 _SHIFT = np.uint32(17)  # 32 bits less those of BUCKETS
 
 
+def _slices(texts: list[str | None], most: int):
+    """Runs of texts (null as empty) of about `most` characters, at least one text each."""
+    run, size = [], 0
+    for t in texts:
+        t = t or ""
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points of the lower-cased texts with a 0 after each, bounds of the texts)."""
     low = [t.lower() for t in texts]
@@ -54,7 +68,7 @@ def _counts(batches):
             by.setdefault(lang, []).append(text)
         for lang, texts in by.items():
             total = np.zeros(BUCKETS * len(ORDERS), np.int64)
-            for run in words.slices(texts, 500_000):
+            for run in _slices(texts, 500_000):
                 flat, bounds = _points(run)
                 ends = np.zeros(len(flat), bool)
                 ends[bounds[1:] - 1] = True
@@ -73,7 +87,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for run in words.slices(texts, 500_000):
+        for run in _slices(texts, 500_000):
             flat, bounds = _points(run)
             logs = np.zeros((len(self.langs), len(run)))
             sizes = np.diff(bounds) - 1

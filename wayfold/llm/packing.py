@@ -8,12 +8,16 @@ bound differ, the pieces of the sequences that are not full leave their partitio
 dealt anew together with those of the other such partitions, and are packed again.  A
 round is taken only if it saves sequences, and rounds end when none is left to save.
 
+Ids are those of the library.  The distinct plain words of a batch are encoded by the
+token automaton, compiled from the same vocabulary; all else goes through the library itself.
+
 Null counts as empty (one piece, of id 0).  Repeated rows are packed like any others.
 Extra columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -22,57 +26,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, words
+from .token_automaton import END, TokenAutomaton
 
 VOCABULARY, CAPACITY = "word_bpe_49k.json", 2048
 #: Pieces of a partition, on average; a packing task holds some 20 MB.
 PIECES = 40_000
-_MEMOS: dict[str, words.WordMemo] = {}
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECE + ", sequence_id long, offset long, fill long, bins long, bound long"
 
 
-def _memo(path: str) -> words.WordMemo:
-    """part -> its ids as bytes of unsigned 32-bit little-endian numbers."""
-    if path in _MEMOS:
-        return _MEMOS[path]
-    ids, stems, tails = words.library_ids(path), {}, {}
-
-    def raw(parts):
-        return [np.array(x, "<u4").tobytes() for x in ids(parts)]
+def ids_of(run: pa.Array, path: str, automaton: TokenAutomaton) -> words.Ragged:
+    """The ids of a run of texts.  Stems are lower-cased Latin letters in composed form, which the
+    automaton encodes; tails of marks, and all other parts, go to the library."""
+    p, ids = words.Parts(run, lower=True), words.library_ids(path)
+    stems = automaton.encode_words([w.removeprefix(b" ") + END for w in p.stems])
+    groups = (stems, ids([w.decode() for w in p.tails]), ids(p.others))
+    return p.texts(p.spell(*[words.Ragged.of(g, np.uint32) for g in groups]))
 
-    def encode(parts: list[str]) -> list[bytes]:
-        """A word with one closing mark has the ids of the word, then those of the mark."""
-        if len(stems) > 300_000:
-            stems.clear()
-        split = [(p[:-1], p[-1]) if p[-1:] in (",", ".", "!") and p.strip(" ")[:-1].lower().isalpha() else (p, "") for p in parts]
-        new = list({a for a, _ in split}.difference(stems))
-        stems.update(zip(new, raw(new), strict=True))
-        if "," not in tails:
-            tails.update(zip(["", ",", ".", "!"], raw(["", ",", ".", "!"]), strict=True))
-        out = [stems[a] + tails[b] for a, b in split]
-        for a in new:
-            if len(a) > words.LONGEST:
-                del stems[a]
-        return out
 
-    _MEMOS[path] = words.WordMemo(encode)
-    return _MEMOS[path]
+@functools.cache
+def compiled(path: str) -> TokenAutomaton:
+    """Compiled once, on the driver; some 25 MB, whatever the data."""
+    return TokenAutomaton.load_words(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all pieces."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(compiled(path))
+
     def run(batches):
-        memo = _memo(path)
         for b in batches:
-            ids, rows = b.column("doc_id").to_pylist(), [[], [], [], [], []]
-            found = (x for part in words.slices(b.column("text").to_pylist()) for x in memo.of(part))
-            for doc, values in zip(ids, found, strict=True):
-                data = b"".join(values) + bytes(4)
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    cut = data[at : at + 4 * capacity]
-                    for column, v in zip(rows, (doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
-                        column.append(v)
+            ids, rows, at = b.column("doc_id").to_pylist(), [[], [], [], [], []], 0
+            for part in words.runs(b.column("text")):
+                found = ids_of(part, path, shared.value)
+                flat = memoryview(np.ascontiguousarray(found.flat, "<u4")).cast("B")
+                for k, (lo, hi) in enumerate(zip(found.offsets[:-1].tolist(), found.offsets[1:].tolist(), strict=True)):
+                    total = hi - lo + 1  # with the closing id 0
+                    for j, start in enumerate(range(0, total, capacity)):
+                        n = min(capacity, total - start)
+                        crc = zlib.crc32(flat[4 * (lo + start) : 4 * min(lo + start + n, hi)])
+                        if start + n == total:
+                            crc = zlib.crc32(bytes(4), crc)
+                        for column, v in zip(rows, (ids[at + k], j, start, n, crc), strict=True):
+                            column.append(v)
+                at += len(part)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _PIECE)

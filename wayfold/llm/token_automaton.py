@@ -51,14 +51,39 @@ def read_byte_bpe(path: str) -> tuple[list[bytes | None], list[tuple[int, int, i
     return labels, merges, added
 
 
+#: Closes a word where the vocabulary marks the ends of words; no UTF-8 text holds this byte.
+END = b"\xff"
+
+
+def read_word_bpe(path: str) -> tuple[list[bytes | None], list[tuple[int, int, int]]]:
+    """(bytes of each id, merges) of a vocabulary that marks a word's last symbol, the mark as END.
+
+    Tokens of bytes that no UTF-8 text holds are left out."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, alphabet = spec["model"], byte_alphabet()
+    vocab, mark = model["vocab"], model["end_of_word_suffix"]
+    labels: list[bytes | None] = [None] * (max(vocab.values()) + 1)
+    for token, k in vocab.items():
+        stem = token.removesuffix(mark)
+        data = bytes(alphabet[c] for c in stem) if all(c in alphabet for c in stem) else END
+        if END not in data:
+            labels[k] = data + (END if stem != token else b"")
+    merges = []
+    for m in model["merges"]:
+        a, b = m.split(" ") if isinstance(m, str) else m
+        merges.append((vocab[a], vocab[b], vocab[a + b]))
+    return labels, [m for m in merges if all(labels[k] is not None for k in m)]
+
+
 class TokenAutomaton:
     """Encoder and decoder for byte strings that were split beforehand (*words*)."""
 
     def __init__(self, labels: list[bytes | None], merges: list[tuple[int, int, int]]):
         self.labels = labels
         made = {m[2] for m in merges}
-        base = [k for k, b in enumerate(labels) if b is not None and len(b) == 1 and k not in made]
-        self._sizes = [len(b) if b else 0 for b in labels]
+        base = [k for k, b in enumerate(labels) if b is not None and len(b.removesuffix(END)) == 1 and k not in made]
+        self._sizes = np.array([len(b) if b else 0 for b in labels], np.int64)
         self._build(base, merges)
         self._compile_trie()
 
@@ -70,6 +95,10 @@ class TokenAutomaton:
             out.labels[k] = text.encode()
         return out
 
+    @classmethod
+    def load_words(cls, path: str) -> TokenAutomaton:
+        return cls(*read_word_bpe(path))
+
     def _build(self, base: list[int], merges: list[tuple[int, int, int]]) -> None:
         n, width = len(self.labels), 64
         bits = np.zeros((n, width), np.uint8)  # state bits of each label
@@ -91,11 +120,11 @@ class TokenAutomaton:
             bits[uv] = bits[u]
             target[uv] = r
             entering[r] += 1
-        self.n_states, self.target = len(entering), target
+        self.n_states, self.target = len(entering), target.astype(np.int32)
         bits = np.ascontiguousarray(bits[:, : (self.n_states + 7) // 8])
         # equal rows (labels) are kept once
         kept: dict[bytes, int] = {}
-        self.row = np.array([kept.setdefault(x.tobytes(), len(kept)) for x in bits], np.int64)
+        self.row = np.array([kept.setdefault(x.tobytes(), len(kept)) for x in bits], np.int32)
         first = np.zeros(len(kept), np.int64)
         first[self.row[::-1]] = np.arange(n)[::-1]
         self.bits = bits[first]
@@ -115,10 +144,10 @@ class TokenAutomaton:
                     count += 1
                 at = to
             ends[at] = k
-        self.ends = np.full(count, -1, np.int64)
+        self.ends = np.full(count, -1, np.int32)
         self.ends[list(ends)] = list(ends.values())
         self.shift = np.uint64(64 - max(4, (8 * len(nodes)).bit_length()))
-        self.keys, self.vals = np.full(1 << (64 - int(self.shift)), -1, np.int64), np.zeros(1 << (64 - int(self.shift)), np.int64)
+        self.keys, self.vals = np.full(1 << (64 - int(self.shift)), -1, np.int32), np.zeros(1 << (64 - int(self.shift)), np.int32)
         todo, vals = np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes))
         at, self.probes = self._slot(todo), 0
         while len(todo):
@@ -151,26 +180,30 @@ class TokenAutomaton:
             more = more[~hit & (got != -1)]
         return out
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; all words advance together, position by position."""
-        out: list[list[int]] = [[] for _ in words]
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        lo = 0
+    def encode_words(self, words: list[bytes], raw: bool = False) -> list:
+        """Ids of each word, as a list or (raw) as the bytes of little-endian 32-bit numbers;
+        all words advance together, position by position."""
+        out: list = [b"" if raw else []] * len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        lo, unit = 0, 4 if raw else 1
         while lo < len(order):  # words of like length share a table of bounded size
-            hi, longest = lo + 1, max(1, len(words[order[lo]]))
-            while hi < len(order) and len(words[order[hi]]) <= 2 * longest + 8 and (hi - lo) * len(words[order[hi]]) < 4_000_000:
-                hi += 1
-            part = order[lo:hi]
-            for i, ids in zip(part, self._encode([words[i] for i in part]), strict=True):
-                out[i] = ids
+            hi = int(np.searchsorted(sizes, 2 * max(1, sizes[lo]) + 8, side="right"))
+            hi = max(lo + 1, min(hi, lo + 4_000_000 // int(sizes[hi - 1] + 1)))
+            part = order[lo:hi].tolist()
+            flat, counts = self._encode([words[i] for i in part], sizes[lo:hi])
+            values = flat.astype("<u4").tobytes() if raw else flat.tolist()
+            at = 0
+            for i, n in zip(part, (counts * unit).tolist(), strict=True):
+                out[i] = values[at : at + n]
+                at += n
             lo = hi
         return out
 
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        n, sizes = len(words), np.array([len(w) for w in words], np.int64)
-        most = int(sizes.max(initial=0))
-        if not most:
-            return [[] for _ in words]
+    def _encode(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each word's)."""
+        n, most = len(words), int(sizes.max(initial=0))
         text = np.zeros((most, n), np.uint8)  # position-major: one step reads one row
         flat = np.frombuffer(b"".join(words), np.uint8)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -198,16 +231,20 @@ class TokenAutomaton:
                 k, s = label[end], state[end]
                 ok = self.bits[self.row[k], s >> 3] >> (s & 7).astype(np.uint8) & 1 != 0
                 last[i + 1, who[end[ok]]] = k[ok]
-        out, size_of = [], self._sizes
-        columns = last.T.tolist() if most <= 64 else None
-        for w in range(n):
-            at, ids, row = int(sizes[w]), [], columns[w] if columns else last[:, w]
-            while at:
-                k = int(row[at])
-                ids.append(k)
-                at -= size_of[k]
-            out.append(ids[::-1])
-        return out
+        # back along the accepted paths, all words together
+        at, who, steps = sizes.copy(), np.flatnonzero(sizes > 0), []
+        counts = np.zeros(n, np.int64)
+        while len(who):
+            k = last[at[who], who]
+            steps.append((who, k))
+            counts[who] += 1
+            at[who] -= self._sizes[k]
+            who = who[at[who] > 0]
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(counts.sum()), np.int32)
+        for back, (who, k) in enumerate(steps, 1):
+            flat[ends[who] - back] = k
+        return flat, counts
 
     def decode(self, ids) -> bytes:
         """The labels of the arcs, one after the other."""

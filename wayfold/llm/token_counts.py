@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from . import common, words
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
-_MEMOS: dict[str, words.WordMemo] = {}
 
 
 def version_of(path: str) -> str:
@@ -28,23 +28,27 @@ def version_of(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def _memo(path: str) -> words.WordMemo:
-    if path not in _MEMOS:
-        ids = words.library_ids(path)
-        _MEMOS[path] = words.WordMemo(lambda parts: [len(x) for x in ids(parts)])
-    return _MEMOS[path]
+def counts_of(texts: pa.Array, path: str) -> np.ndarray:
+    """The number of tokens of each text; what is encoded is the distinct words of a run of texts."""
+    ids, out = words.library_ids(path), [np.zeros(0, np.int64)]
 
+    def count(parts: list[str]) -> np.ndarray:
+        return np.array([len(x) for x in ids(parts)], np.int64)
 
-def counts_of(texts: list[str | None], path: str) -> list[int]:
-    memo = _memo(path)
-    return [sum(x) for run in words.slices(texts) for x in memo.of(run)]
+    for run in words.runs(texts):
+        p = words.Parts(run, lower=False)
+        stems, tails, others = (count(x) for x in ([w.decode() for w in p.stems], [w.decode() for w in p.tails], p.others))
+        plain, each = p.stem >= 0, np.zeros(len(p.stem), np.int64)
+        each[plain] = stems[p.stem[plain]] + tails[p.tail[plain]]
+        each[~plain] = others[p.tail[~plain]]
+        out.append(p.sums(each))
+    return np.concatenate(out)
 
 
 def _encoder(path: str):
     def run(batches):
         for b in batches:
-            n = counts_of(b.column("text").to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(counts_of(b.column("text"), path))], ["digest", "n_tokens"])
 
     return run
 
