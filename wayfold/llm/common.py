@@ -18,8 +18,16 @@ HOT_PARTS = 256
 _SCRATCH: dict[str, SparkSession] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold 8 MB, so that long texts do not add up to large ones; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "268435456", "67108864", "256MB", "64MB", "9223372036854775807"):  # Spark's own values
+        spark.conf.set(key, str(8 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.  One is chosen only where the session names none."""
+    bounded_batches(spark)
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     where = tempfile.mkdtemp(prefix="wayfold-")
@@ -52,6 +60,7 @@ def drop_scratch() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -153,7 +162,8 @@ def linked_groups(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60
             out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # smaller neighbours and the node itself move to the least one
             out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return stash(out.filter("u <> v").distinct(), "star")
+        out = out.filter("u <> v")
+        return stash(out if large else out.distinct(), "star")
 
     state = None
     for _ in range(rounds):

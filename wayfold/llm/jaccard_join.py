@@ -9,7 +9,7 @@ one *class*, and one of each goes on: its document of least id.
 2. A *run* splits the classes on tokens that it samples, two at the root, so a bucket holds
    classes that agree on its path.  Buckets of up to LIMIT classes are compared by brute
    force.  Larger ones are compared with one pivot: what is close to it is
-   linked and done, the rest is split on two more tokens sampled at that node, again and
+   linked and done, the rest is split on more pairs of tokens sampled at that node, again and
    again; what is still large after DEPTH splits is compared block by block, all of it.
    Runs repeat until a pair at the threshold is missed with a probability under
    1 - RECALL, whatever bucket it fell in.  Equal buckets of several runs are compared once.
@@ -38,13 +38,14 @@ from . import common, words
 from . import repeat_kernels as rk
 
 SHINGLE, TENTHS = 5, 8  # similarity of TENTHS / 10 or more
-TOKENS, LIMIT, DEPTH = 64, 256, 6
+TOKENS, LIMIT, DEPTH, CHILDREN = 64, 256, 3, 4
 RECALL = 0.99999
 #: Agreement of tokens from which a bucket's classes are candidates; four deviations under the threshold.
 CLOSE = 0.6
-#: To a pivot: classes are candidates from NEAR on, and done from DONE on.  What is similar to a class
-#: that is done (0.8) has a similarity of 0.6 to the pivot at least, so it is linked to it as well.
-NEAR, DONE = 0.4, 0.86
+#: To a pivot: classes are linked from NEAR on, and done from DONE on.  Distances of sets obey the triangle
+#: inequality: what has a similarity of 0.65 to the pivot and 0.8 to another class puts that class at 0.45 to the
+#: pivot at least, so both are linked to it already and need not meet again.
+NEAR, DONE = 0.35, 0.75
 #: Shingles in a block of exact comparison.
 BLOCK_SHINGLES = 300_000
 _RNG = np.random.default_rng(77)
@@ -55,7 +56,7 @@ _PLACE = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np
 def runs_needed() -> int:
     """Runs until a pair at the threshold shares a leaf in one of them with probability RECALL."""
     j = TENTHS / 10
-    survives = j * j * (1 - (1 - j) ** 2) ** DEPTH  # the root's two tokens, then one of two tokens a level
+    survives = j * j * (1 - (1 - j * j) ** CHILDREN) ** DEPTH  # the root's two tokens, then one of the pairs of each level
     return math.ceil(math.log(1 - RECALL) / math.log(1 - survives))
 
 
@@ -201,33 +202,37 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     rng = np.random.default_rng(4242)
     starts = [rng.choice(TOKENS, 2, replace=False).tolist() for _ in range(runs_needed())]
     paths = F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(i)), F.get("tokens", F.lit(j))) for r, (i, j) in enumerate(starts)])
-    rows = classes.select("id", F.explode(paths).alias("path"))
-    links = None
+    same = F.aggregate(F.zip_with("tokens", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    pairs = []
+    for c in range(CHILDREN):  # two different tokens, the same for all that share the path
+        i = F.pmod(F.xxhash64("path", F.lit(c), F.lit("i")), F.lit(TOKENS)).cast("int")
+        j = F.pmod(i + 1 + F.pmod(F.xxhash64("path", F.lit(c), F.lit("j")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
+        pairs.append(F.xxhash64("path", F.lit(c), F.get("tokens", i), F.get("tokens", j)))
+    child = F.explode(F.array(*pairs))
+    tasks = common.task_count(classes, 16 << 20)
+    rows, links = classes.select("id", F.explode(paths).alias("path")), None
     for level in range(DEPTH + 1):
         rows = common.stash(rows, "paths")
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("size > 1")
-        sizes = common.stash(sizes.groupBy("size", "pivot", "x", "y").agg(F.min("path").alias("path")), "buckets")
+        sizes = common.stash(sizes.groupBy("size", "pivot", "x", "y").agg(F.min("path").alias("path")).drop("x", "y"), "buckets")
+        met = rows.join(sizes.hint("merge"), "path")
+        if level == 0:  # from here on the rows that are left carry their tokens
+            met = met.join(classes.select("id", "tokens").hint("merge"), "id")
+        met = common.stash(met.select("path", "size", "pivot", "id", "tokens"), "met")
         last = level == DEPTH
-        leaves = sizes if last else sizes.filter(F.col("size") <= LIMIT)
-        met = rows.join(leaves.select("path", "size").hint("merge"), "path").join(classes.select("id", "tokens").hint("merge"), "id")
-        units = _units(met.select("path", "size", "id", "tokens"), "path", F.ceil(F.col("size") / LIMIT)).select("path", "u", "v", "block", "id", "tokens")
-        tasks = common.task_count(classes, 16 << 20)
+        leaves = met if last else met.filter(F.col("size") <= LIMIT)
+        units = _units(leaves.select("path", "size", "id", "tokens"), "path", F.ceil(F.col("size") / LIMIT)).select("path", "u", "v", "block", "id", "tokens")
         found = units.repartition(tasks, "path", "u", "v").sortWithinPartitions("path", "u", "v").mapInArrow(_compare, "a long, b long")
-        found = common.stash(found.distinct(), "candidates")
+        found = common.stash(found, "candidates")
         links = found if links is None else links.unionByName(found)
-        if last or sizes.filter(F.col("size") > LIMIT).isEmpty():
+        large = met.filter(F.col("size") > LIMIT)
+        if last or large.isEmpty():
             return links
-        large = sizes.filter(F.col("size") > LIMIT).select("path", "pivot")
-        own = rows.join(large.hint("merge"), "path").filter("id <> pivot").join(classes.select("id", "tokens").hint("merge"), "id")
-        pivots = classes.select(F.col("id").alias("pivot"), F.col("tokens").alias("theirs"))
-        same = F.aggregate(F.zip_with("tokens", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = common.stash(own.join(pivots.hint("merge"), "pivot").withColumn("same", same).drop("theirs"), "near")
+        pivots = large.filter("id = pivot").select("path", F.col("tokens").alias("theirs"))
+        near = large.filter("id <> pivot").join(pivots.hint("merge"), "path").withColumn("same", same).select("path", "id", "pivot", "tokens", "same")
+        near = common.stash(near, "near")
         links = links.unionByName(near.filter(F.col("same") >= NEAR * TOKENS).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        rest = near.filter(F.col("same") < DONE * TOKENS)
-        i = F.pmod(F.xxhash64("path", F.lit("i")), F.lit(TOKENS)).cast("int")
-        j = F.pmod(i + 1 + F.pmod(F.xxhash64("path", F.lit("j")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
-        child = F.explode(F.array(*[F.xxhash64("path", k, F.get("tokens", k)) for k in (i, j)]))
-        rows = rest.select("id", child.alias("path"))
+        rows = near.filter(F.col("same") < DONE * TOKENS).select("id", child.alias("path"), "tokens")
     raise AssertionError("unreachable")
 
 
@@ -275,7 +280,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     met = groups.select(F.col("node").alias("id"), "root").join(marked.select("id", "n").hint("merge"), "id").join(classes.select("id", "copies").groupBy("id").agg(F.max("copies").alias("copies")).hint("merge"), "id")
     met = common.stash(met, "members")
     total = met.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    met = met.join(total.hint("merge"), "root")
+    met = common.attach(met, common.stash(total, "sizes"), "root", "members")
     blocks = F.greatest(F.ceil(F.col("members") / LIMIT), F.ceil(F.col("total") / BLOCK_SHINGLES))
     texts = common.text_rows(docs.select("doc_id", "text")).select("id", "z").join(met.select("id", "root", "copies", blocks.alias("blocks_")).hint("merge"), "id").dropDuplicates(["id"])
     units = _units(texts, "root", F.col("blocks_")).select("root", "u", "v", "block", "id", "copies", "z")

@@ -27,7 +27,7 @@ _SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 _ODD_SPACE = f"^ | $| [{_SPACE}]|[{_SPACE}] "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of a run of texts.
-RUN = 12_000_000
+RUN = 8_000_000
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = 0
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
