@@ -215,11 +215,15 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         rows = common.stash(rows, "paths")
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("size > 1")
         sizes = common.stash(sizes.groupBy("size", "pivot", "x", "y").agg(F.min("path").alias("path")).drop("x", "y"), "buckets")
+        last = level == DEPTH
+        if not last:  # the tokens of the pivots, of which there are LIMIT times fewer than rows, come along with the sizes
+            theirs = classes.select(F.col("id").alias("pivot"), F.col("tokens").alias("theirs"))
+            split = sizes.filter(F.col("size") > LIMIT).join(theirs.hint("merge"), "pivot")
+            sizes = sizes.filter(F.col("size") <= LIMIT).withColumn("theirs", F.lit(None).cast("array<int>")).unionByName(split)
         met = rows.join(sizes.hint("merge"), "path")
         if level == 0:  # from here on the rows that are left carry their tokens
             met = met.join(classes.select("id", "tokens").hint("merge"), "id")
-        met = common.stash(met.select("path", "size", "pivot", "id", "tokens"), "met")
-        last = level == DEPTH
+        met = common.stash(met.select("path", "size", "pivot", "id", "tokens", (F.lit(None).cast("int") if last else same).alias("same")), "met")
         leaves = met if last else met.filter(F.col("size") <= LIMIT)
         units = _units(leaves.select("path", "size", "id", "tokens"), "path", F.ceil(F.col("size") / LIMIT)).select("path", "u", "v", "block", "id", "tokens")
         found = units.repartition(tasks, "path", "u", "v").sortWithinPartitions("path", "u", "v").mapInArrow(_compare, "a long, b long")
@@ -228,9 +232,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         large = met.filter(F.col("size") > LIMIT)
         if last or large.isEmpty():
             return links
-        pivots = large.filter("id = pivot").select("path", F.col("tokens").alias("theirs"))
-        near = large.filter("id <> pivot").join(pivots.hint("merge"), "path").withColumn("same", same).select("path", "id", "pivot", "tokens", "same")
-        near = common.stash(near, "near")
+        near = large.filter("id <> pivot")
         links = links.unionByName(near.filter(F.col("same") >= NEAR * TOKENS).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         rows = near.filter(F.col("same") < DONE * TOKENS).select("id", child.alias("path"), "tokens")
     raise AssertionError("unreachable")
