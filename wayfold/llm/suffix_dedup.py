@@ -282,7 +282,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut out of their texts; n_chars, where there is one, follows.
 
     A character that loses some of its bytes goes with them; a null text stays null."""
-    marked = docs.withColumn("__null", F.col("text").isNull())
+    inside = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # so that no column clashes
+    marked = docs.select("doc_id", "text", F.col("text").isNull().alias("__null"), *[F.col(f"`{c}`").alias(x) for c, x in inside.items()])
     rows = common.text_rows(marked).join(repeated_spans(docs).hint("merge"), "id", "left").drop("id")
     others = [c for c in rows.columns if c not in ("z", "spans")]
     schema = rows.select(*others, F.lit("").alias("text")).schema
@@ -294,8 +295,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     got = rows.mapInArrow(run, schema).withColumn("text", F.when(~F.col("__null"), F.col("text")))
     if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+        got = got.withColumn(inside["n_chars"], F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return got.select(*[F.col(inside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
