@@ -122,3 +122,38 @@ def test_language(spark):
     docs = spark.createDataFrame([*rows, (200, None, "en"), (201, "12 %", "de")], SCHEMA + ", lang string")
     got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()}
     assert got[200] == got[201] == "und" and all(got[i] == x for i, _, x in rows)
+
+
+def test_short_lines_that_are_similar_share_a_key():
+    random.seed(8)
+    for n in range(4, line_dedup.EXACT):
+        for _ in range(60):
+            a = "".join(random.choice("abcé ") for _ in range(n))
+            b = list(a)
+            for _ in range(n // 5):
+                k = random.randrange(len(b) + 1)
+                b[k : k + random.randint(0, 1)] = random.choice(["", "x", "yé"[random.randint(0, 1)]])
+            b = "".join(b)
+            if a != b and max(len(a), len(b)) < line_dedup.EXACT and line_dedup.similar(a, b):
+                assert set(line_dedup.short_keys(a).tolist()) & set(line_dedup.short_keys(b).tolist()), (a, b)
+
+
+def test_lines_against_brute_force(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(2, 8)))
+    lines = []
+    for n in (2, 3, 6, 10, 20, 40, 60, 100) * 4:
+        ws = [word() for _ in range(n)]
+        lines.append(" ".join(ws))
+        k = random.randrange(n)
+        lines.append(" ".join([*ws[:k], ws[k][:-1] + "z", *ws[k + 1 :]]))  # one letter of one word
+        if n > 9:
+            lines.append(" ".join([*ws[: k // 2], word(), *ws[k // 2 + 1 :]]))  # another word
+    label = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if label[i] != label[j] and line_dedup.similar(a, lines[j]):
+                least, most = sorted((label[i], label[j]))
+                label = [least if x == most else x for x in label]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: int(label[i] != i) for i in range(len(lines))}
