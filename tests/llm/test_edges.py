@@ -73,3 +73,20 @@ def test_stages(spark, tmp_path, name):
             assert got.columns == docs.columns
             assert {r.doc_id for r in found} <= {i for i, _ in rows}
         assert bool(found) == bool(rows)
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_texts(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(None, one), (None, two), (5, three), (5, one + " tail"), (6, three + " tail"), (7, "short text")]
+    docs = frame(spark, rows)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, one), (None, two), (5, three), (7, "short text")])
+    links = Counter((r.id, r.class_id, r.n_links) for r in jaccard_join.similarity_classes(docs).collect())
+    null = common.NULL_ID
+    assert links == Counter([(null, null, 1), (null, null, 0), (5, 5, 1), (5, null, 1), (6, 5, 1), (7, 7, 0)])
+    cut = Counter((r.doc_id, r.text) for r in suffix_dedup.cut_repeats(docs).collect())
+    assert cut == Counter([(None, one), (None, two), (5, three), (5, " tail"), (6, " tail"), (7, "short text")])
+    lines = frame(spark, [(None, "first line of its own\n" + one), (None, two + "\n" + three), (3, one + "\nother words stay here")])
+    got = Counter((r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(lines).collect())
+    assert got == Counter([(None, "first line of its own\n" + one), (None, two + "\n" + three), (3, "other words stay here")])

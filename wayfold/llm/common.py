@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -95,6 +95,24 @@ def with_id(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
 
 
+def by_rows(docs: DataFrame, run: Callable[[DataFrame], DataFrame], *held: str) -> DataFrame:
+    """run(docs), for a run that takes a doc_id to be of one row.
+
+    Where several rows share one, or null, the rows are numbered in the order of their doc_ids (null first) and
+    texts; the numbers stand for doc_ids in run, and the columns `held` of its result get their doc_ids back."""
+    if with_id(docs.select("doc_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return run(docs)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = docs.withColumn("__doc", F.col("doc_id")).repartitionByRange(task_count(docs, 16 << 20), *order).sortWithinPartitions(*order)
+    rows = stash(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    got = run(rows.drop("__doc"))
+    columns = got.columns
+    for c in held:
+        own = F.col("__doc") if c == "doc_id" else F.coalesce(F.col("__doc").cast("long"), F.lit(NULL_ID))
+        got = got.join(rows.select(F.col("doc_id").alias(c), "__doc").hint("merge"), c).withColumn(c, own).drop("__doc")
+    return got.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def _zipped(batches):
     pack = zstandard.ZstdCompressor(level=3)
     for b in batches:

@@ -21,6 +21,7 @@ Results are by document: the least doc_id it is linked to through any chain (cla
 and its number of links, copies included.  Pairs are counted, never written out.
 
 Null counts as empty; texts without words are linked to nothing.  Repeated rows count as copies.
+Rows that share a doc_id, or null, are compared by their own texts.
 A null doc_id comes before all others.  Extra columns are not read.  No rows give no rows.
 """
 
@@ -274,6 +275,10 @@ def _exact(batches):
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """id, class_id, n_links of each row of docs."""
+    return common.by_rows(docs.select("doc_id", "text"), _classes, "id", "class_id")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     rows = common.stash(embedded(docs), "embedded")
     classes = common.stash(rows.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     marked = rows.filter("n > 0").join(classes.select("digest", "id").hint("merge"), ["digest", "id"]).dropDuplicates(["id"])
@@ -302,8 +307,12 @@ def _shown(c: str):
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that are similar, through any chain, to one of smaller doc_id; the columns stay as they are.
 
-    Of rows that repeat the doc_id that stays, one stays."""
-    kept = similarity_classes(docs).filter("id = class_id").select(F.col("id").alias("__id")).distinct()
+    Of similar rows that repeat the doc_id that stays, one stays; others of that doc_id stay by their own texts."""
+    return common.by_rows(docs, _one, "doc_id")
+
+
+def _one(docs: DataFrame) -> DataFrame:
+    kept = _classes(docs).filter("id = class_id").select(F.col("id").alias("__id")).distinct()
     marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)))
     return marked.join(kept.hint("merge"), "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
 

@@ -23,8 +23,7 @@ No group is gathered in a task: tasks sort hash partitions of bounded size, and
 within a run have gone before.  Buckets are named by 64-bit hashes.
 
 Null text counts as empty.  Null doc_ids come before all others.  Rows that share a
-doc_id count as one document whose texts lie over each other: neither is earlier at the same
-offset, and what one loses the others lose too.  No rows give no rows.
+doc_id, or null, are documents of their own, in the order of a hash of their texts.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -274,6 +273,10 @@ def _reports(batches):
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and the digest of what stays."""
+    return common.by_rows(docs.select("doc_id", "text"), _report, "doc_id")
+
+
+def _report(docs: DataFrame) -> DataFrame:
     rows = common.text_rows(docs.select("doc_id", "text")).join(repeated_spans(docs).hint("merge"), "id", "left")
     return rows.select("doc_id", "z", "spans").mapInArrow(_reports, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -282,6 +285,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut out of their texts; n_chars, where there is one, follows.
 
     A character that loses some of its bytes goes with them; a null text stays null."""
+    return common.by_rows(docs, _cut, "doc_id")
+
+
+def _cut(docs: DataFrame) -> DataFrame:
     inside = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # so that no column clashes
     marked = docs.select("doc_id", "text", F.col("text").isNull().alias("__null"), *[F.col(f"`{c}`").alias(x) for c, x in inside.items()])
     rows = common.text_rows(marked).join(repeated_spans(docs).hint("merge"), "id", "left").drop("id")
