@@ -74,3 +74,8 @@ def test_clean(spark):
 def test_registry_names():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert match and graph
+
+
+def test_farthest_of_a_long_list(spark):
+    dist = spark.range(1, 100_011).selectExpr("0L AS a", "id AS b", "CAST(id AS DOUBLE) AS dist")
+    assert topk.farthest_nodes(dist, 0, 2, 2) == [0, 100_010]

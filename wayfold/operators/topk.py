@@ -62,13 +62,12 @@ def representatives(top: DataFrame, queries: DataFrame, data: DataFrame) -> Data
 def farthest_nodes(dist: DataFrame, seed_node: int, n_near: int, count: int) -> list[int]:
     """Nodes picked one by one: drop the n_near nearest of the last, take the farthest of what is left.
 
-    dist (a, b, dist) is a table among representatives; each step reads one row set of it."""
+    dist (a, b, dist) is a table among representatives; each step collects n_near rows of it and one."""
     picked, gone = [seed_node], {seed_node}
     while len(picked) < count:
-        rows = dist.filter(F.col("a") == picked[-1]).orderBy("dist", "b").select("b").limit(100_000).collect()  # one representative's list
-        order = [r.b for r in rows if r.b not in gone]
-        gone |= set(order[:n_near])
-        left = order[n_near:]
+        rows = dist.filter((F.col("a") == picked[-1]) & ~F.col("b").isin(*gone))
+        gone |= {r.b for r in rows.orderBy("dist", "b").select("b").limit(n_near).collect()}
+        left = [r.b for r in rows.filter(~F.col("b").isin(*gone)).orderBy(F.desc("dist"), F.desc("b")).select("b").limit(1).collect()]
         if not left:
             break
         picked.append(left[-1])
