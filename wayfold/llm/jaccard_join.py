@@ -6,16 +6,19 @@ one *class*, and one of each goes on: its document of least id.
 
 1. A set is embedded as TOKENS minhash tokens; two sets share each token with a
    probability equal to their similarity.
-2. A *run* splits the classes on tokens that it samples, two at the root, so a bucket holds
+2. A *run* splits the classes on tokens that it samples, ROOT at the root, so a bucket holds
    classes that agree on its path.  Buckets of up to LIMIT classes are compared by brute
    force.  Larger ones are compared with one pivot: what is close to it is
    linked and done, the rest is split on more pairs of tokens sampled at that node, again and
    again; what is still large after DEPTH splits is compared block by block, all of it.
    Runs repeat until a pair at the threshold is missed with a probability under
-   1 - RECALL, whatever bucket it fell in.  Equal buckets of several runs are compared once.
+   1 - RECALL, whatever bucket it fell in.  Equal buckets of several runs are compared once,
+   and split as often as all of them would be.
 3. Comparisons use tokens and a lower threshold, and yield links that only *connect*
    (one for each class and bucket at most).  Each connected group is then compared by its exact sets, all pairs
    in blocks of bounded size, so no link between different texts is lost and none is counted twice.
+   Where only the groups are asked for (keep_one), the members of each block meet the group's least member first, and
+   only those that this doesn't settle meet the other blocks: a group of near copies costs its size, not its square.
 
 Results are by document: the least doc_id it is linked to through any chain (class_id),
 and its number of links, copies included.  Pairs are counted, never written out.
@@ -39,9 +42,9 @@ from . import common, words
 from . import repeat_kernels as rk
 
 SHINGLE, TENTHS = 5, 8  # similarity of TENTHS / 10 or more
-TOKENS, LIMIT, DEPTH, CHILDREN = 64, 256, 3, 4
-RECALL = 0.99999
-#: Agreement of tokens from which a bucket's classes are candidates; four deviations under the threshold.
+TOKENS, LIMIT, ROOT, DEPTH, CHILDREN = 96, 256, 3, 3, 2
+RECALL = 0.9998
+#: Agreement of tokens from which a bucket's classes are candidates; five deviations under the threshold.
 CLOSE = 0.6
 #: To a pivot: classes are linked from NEAR on, and done from DONE on.  Distances of sets obey the triangle
 #: inequality: what has a similarity of 0.65 to the pivot and 0.8 to another class puts that class at 0.45 to the
@@ -54,11 +57,22 @@ _ODD = _RNG.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.ui
 _PLACE = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def missed(runs: int) -> float:
+    """The probability that a pair at the threshold meets in no leaf, after all splits, or seems too far when it does.
+
+    All runs sample from the same tokens, so it is taken over the number of them that the pair shares."""
+    j, out = TENTHS / 10, 0.0
+    for shared in range(TOKENS + 1):
+        p, q = math.comb(TOKENS, shared) * j**shared * (1 - j) ** (TOKENS - shared), shared / TOKENS
+        below = 1.0
+        for _ in range(DEPTH):
+            below = 1 - (1 - q * q * below) ** CHILDREN
+        out += p * (1 - q**ROOT * below) ** runs if shared >= CLOSE * TOKENS else p
+    return out
+
+
 def runs_needed() -> int:
-    """Runs until a pair at the threshold shares a leaf in one of them with probability RECALL."""
-    j = TENTHS / 10
-    survives = j * j * (1 - (1 - j * j) ** CHILDREN) ** DEPTH  # the root's two tokens, then one of the pairs of each level
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - survives))
+    return next(r for r in range(1, 1000) if missed(r) <= 1 - RECALL)
 
 
 def shingles(texts: list[bytes]) -> list[np.ndarray]:
@@ -201,21 +215,22 @@ def _units(rows: DataFrame, key: str, blocks) -> DataFrame:
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(a, b): links that connect all classes that may be similar; classes: a table (id, tokens)."""
     rng = np.random.default_rng(4242)
-    starts = [rng.choice(TOKENS, 2, replace=False).tolist() for _ in range(runs_needed())]
-    paths = F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(i)), F.get("tokens", F.lit(j))) for r, (i, j) in enumerate(starts)])
+    starts = [rng.choice(TOKENS, ROOT, replace=False).tolist() for _ in range(runs_needed())]
+    paths = F.array(*[F.xxhash64(F.lit(r), *[F.get("tokens", F.lit(k)) for k in at]) for r, at in enumerate(starts)])
     same = F.aggregate(F.zip_with("tokens", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = []
-    for c in range(CHILDREN):  # two different tokens, the same for all that share the path
-        i = F.pmod(F.xxhash64("path", F.lit(c), F.lit("i")), F.lit(TOKENS)).cast("int")
-        j = F.pmod(i + 1 + F.pmod(F.xxhash64("path", F.lit(c), F.lit("j")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
-        pairs.append(F.xxhash64("path", F.lit(c), F.get("tokens", i), F.get("tokens", j)))
-    child = F.explode(F.array(*pairs))
+
+    def child(c):  # two different tokens, the same for all that share the path
+        i = F.pmod(F.xxhash64("path", c, F.lit("i")), F.lit(TOKENS)).cast("int")
+        j = F.pmod(i + 1 + F.pmod(F.xxhash64("path", c, F.lit("j")), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
+        return F.xxhash64("path", c, F.get("tokens", i), F.get("tokens", j))
+
+    children = F.explode(F.transform(F.sequence(F.lit(1), F.lit(CHILDREN) * F.col("times")), child))
     tasks = common.task_count(classes, 16 << 20)
     rows, links = classes.select("id", F.explode(paths).alias("path")), None
     for level in range(DEPTH + 1):
         rows = common.stash(rows, "paths")
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("size > 1")
-        sizes = common.stash(sizes.groupBy("size", "pivot", "x", "y").agg(F.min("path").alias("path")).drop("x", "y"), "buckets")
+        sizes = common.stash(sizes.groupBy("size", "pivot", "x", "y").agg(F.min("path").alias("path"), F.count(F.lit(1)).cast("int").alias("times")).drop("x", "y"), "buckets")
         last = level == DEPTH
         if not last:  # the tokens of the pivots, of which there are LIMIT times fewer than rows, come along with the sizes
             theirs = classes.select(F.col("id").alias("pivot"), F.col("tokens").alias("theirs"))
@@ -224,7 +239,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
         met = rows.join(sizes.hint("merge"), "path")
         if level == 0:  # from here on the rows that are left carry their tokens
             met = met.join(classes.select("id", "tokens").hint("merge"), "id")
-        met = common.stash(met.select("path", "size", "pivot", "id", "tokens", (F.lit(None).cast("int") if last else same).alias("same")), "met")
+        met = common.stash(met.select("path", "size", "times", "pivot", "id", "tokens", (F.lit(None).cast("int") if last else same).alias("same")), "met")
         leaves = met if last else met.filter(F.col("size") <= LIMIT)
         units = _units(leaves.select("path", "size", "id", "tokens"), "path", F.ceil(F.col("size") / LIMIT)).select("path", "u", "v", "block", "id", "tokens")
         found = units.repartition(tasks, "path", "u", "v").sortWithinPartitions("path", "u", "v").mapInArrow(_compare, "a long, b long")
@@ -235,17 +250,17 @@ def candidate_links(classes: DataFrame) -> DataFrame:
             return links
         near = large.filter("id <> pivot")
         links = links.unionByName(near.filter(F.col("same") >= NEAR * TOKENS).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-        rows = near.filter(F.col("same") < DONE * TOKENS).select("id", child.alias("path"), "tokens")
+        rows = near.filter(F.col("same") < DONE * TOKENS).select("id", children.alias("path"), "tokens")
     raise AssertionError("unreachable")
 
 
 def _exact(batches):
-    """Exact links within blocks of a group, from rows (root, u, v, block, id, copies, z):
-    (id, links, to): links counts copies; to is the least id of the part it is connected with."""
+    """Exact links within a unit, from rows (root, u, v, side, id, copies, z): all pairs where all have side 0,
+    those of different sides else.  (id, links, to): links counts copies; to is the least id of the part it is connected with."""
     unzip = zstandard.ZstdDecompressor()
-    for _, u, v, block, ids, copies, z in common.sorted_groups(batches, 3):
+    for _, _, _, side, ids, copies, z in common.sorted_groups(batches, 3):
         order = np.argsort(np.array(ids, np.int64), kind="stable")
-        ids, block, copies = (np.array(x, np.int64)[order] for x in (ids, block, copies))
+        ids, side, copies = (np.array(x, np.int64)[order] for x in (ids, side, copies))
         sets = shingles([unzip.decompress(z[k]) for k in order])
         sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
@@ -264,40 +279,76 @@ def _exact(batches):
             both += x @ x.T
         both = both.astype(np.int64)
         close = (10 * both >= TENTHS * (sizes[:, None] + sizes[None, :] - both)) & (both > 0)
-        if u[0] != v[0]:
-            close &= block[:, None] != block[None, :]
-        np.fill_diagonal(close, False)
+        if side.any():
+            close &= side[:, None] != side[None, :]
+        close &= ids[:, None] != ids[None, :]
         linked, to = _forest(close, ids)
         links = close.astype(np.int64) @ copies
         if len(linked):
             yield pa.RecordBatch.from_arrays([pa.array(linked), pa.array(links[np.flatnonzero(close.any(axis=1))]), pa.array(to)], ["id", "links", "to"])
 
 
+def _exact_links(rows: DataFrame, tasks: int) -> DataFrame:
+    """(id, links, to) from rows (root, u, v, side, id, copies, z)."""
+    units = rows.select("root", "u", "v", "side", "id", "copies", "z").repartition(tasks, "root", "u", "v").sortWithinPartitions("root", "u", "v")
+    return common.stash(units.mapInArrow(_exact, "id long, links long, to long"), "exact-links")
+
+
+def _all_links(texts: DataFrame, tasks: int) -> DataFrame:
+    """All links in each group of rows (root, blocks_, id, copies, z)."""
+    units = _units(texts, "root", F.col("blocks_"))
+    return _exact_links(units.withColumn("side", F.when(F.col("u") == F.col("v"), 0).when(F.col("block") == F.col("u"), 1).otherwise(2)), tasks)
+
+
+def _connecting_links(texts: DataFrame, tasks: int) -> DataFrame:
+    """Links that connect what all links in each group connect.
+
+    Each block meets the group's least member, whose text is dealt to all blocks; members
+    that are connected with it are connected with each other, so only the others meet all blocks."""
+    texts = common.stash(texts.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks_")).cast("int")), "texts")
+    every = F.sequence(F.lit(0), (F.col("blocks_") - 1).cast("int"))
+    own = texts.withColumn("u", F.explode(F.when(F.col("id") == F.col("root"), every).otherwise(F.array("block"))))
+    links = _exact_links(own.withColumns({"v": F.col("u"), "side": F.lit(0)}), tasks)
+    settled = links.filter("id <> to").select("id", F.col("to").alias("root")).distinct()
+    left = texts.filter("blocks_ > 1 and id <> root").join(settled.hint("merge"), ["id", "root"], "left_anti").select("root", "blocks_", "id", "copies", "z")
+    left = common.stash(left, "unsettled")
+    if left.isEmpty():
+        return links
+    rest = common.stash(left.groupBy("root").agg(F.count(F.lit(1)).alias("rest")).withColumn("parts", F.ceil(F.col("rest") / LIMIT).cast("int")), "unsettled-sizes")
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    one = common.attach(left, rest, "root", "rest").withColumns({"u": F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"), "v": F.explode(every), "side": F.lit(1)})
+    two = common.attach(texts, rest, "root", "rest").withColumns({"u": F.explode(parts), "v": F.col("block"), "side": F.lit(2)})
+    return links.unionByName(_exact_links(one.unionByName(two, allowMissingColumns=True), tasks))
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """id, class_id, n_links of each row of docs."""
     return common.by_rows(docs.select("doc_id", "text"), _classes, "id", "class_id")
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """id, class_id and, if counted, n_links."""
     rows = common.stash(embedded(docs), "embedded")
     classes = common.stash(rows.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    marked = rows.filter("n > 0").join(classes.select("digest", "id").hint("merge"), ["digest", "id"]).dropDuplicates(["id"])
+    marked = rows.filter("n > 0").join(classes.select("digest", "id").hint("merge"), ["digest", "id"])
     marked = common.stash(marked.select("id", "n", "tokens"), "tokens")
     groups = common.linked_groups(candidate_links(marked))
-    met = groups.select(F.col("node").alias("id"), "root").join(marked.select("id", "n").hint("merge"), "id").join(classes.select("id", "copies").groupBy("id").agg(F.max("copies").alias("copies")).hint("merge"), "id")
+    met = groups.select(F.col("node").alias("id"), "root").join(marked.select("id", "n").hint("merge"), "id").join(classes.select("id", "copies").hint("merge"), "id")
     met = common.stash(met, "members")
     total = met.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     met = common.attach(met, common.stash(total, "sizes"), "root", "members")
     blocks = F.greatest(F.ceil(F.col("members") / LIMIT), F.ceil(F.col("total") / BLOCK_SHINGLES))
-    texts = common.text_rows(docs.select("doc_id", "text")).select("id", "z").join(met.select("id", "root", "copies", blocks.alias("blocks_")).hint("merge"), "id").dropDuplicates(["id"])
-    units = _units(texts, "root", F.col("blocks_")).select("root", "u", "v", "block", "id", "copies", "z")
-    tasks = common.task_count(docs, 24 << 20)
-    exact = common.stash(units.repartition(tasks, "root", "u", "v").sortWithinPartitions("root", "u", "v").mapInArrow(_exact, "id long, links long, to long"), "exact-links")
+    texts = common.text_rows(docs.select("doc_id", "text")).select("id", "z").join(met.select("id", "root", "copies", blocks.alias("blocks_")).hint("merge"), "id")
+    exact = (_all_links if counted else _connecting_links)(texts, common.task_count(docs, 24 << 20))
     ends = common.linked_groups(exact.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    counts = exact.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(counts.hint("merge"), "id", "left").join(ends.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left")
-    known = common.stash(known.select("digest", "copies", F.coalesce("root", "id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "known")
-    return common.attach(rows.select("id", "digest"), known, "digest", "copies").select("id", "class_id", "n_links")
+    known = classes.join(ends.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").withColumn("class_id", F.coalesce("root", "id"))
+    columns = ["class_id"]
+    if counted:
+        known = known.join(exact.groupBy("id").agg(F.sum("links").alias("links")).hint("merge"), "id", "left")
+        known = known.withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        columns.append("n_links")
+    known = common.stash(known.select("digest", "copies", *columns), "known")
+    return common.attach(rows.select("id", "digest"), known, "digest", "copies").select("id", *columns)
 
 
 def _shown(c: str):
@@ -312,9 +363,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def _one(docs: DataFrame) -> DataFrame:
-    kept = _classes(docs).filter("id = class_id").select(F.col("id").alias("__id")).distinct()
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)))
-    return marked.join(kept.hint("merge"), "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    kept = _classes(docs, counted=False).filter("id = class_id").select(F.col("id").alias("_1"))
+    marked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("_1"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_2"))
+    return marked.join(kept.hint("merge"), "_1", "left_semi").select("_2.*")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
