@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe_codec, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, words
+from wayfold.llm import bpe_codec, edit_kernels, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -103,8 +103,30 @@ def test_lines(spark):
     rows = [(1, f"{line}\n\nshort"), (2, f"{line} more\nshort\nown line"), (3, None)]
     got = {r.doc_id: (r.n_lines, r.kept_text) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert got[1][1] == f"{line}\n\nshort" and "own line" in got[2][1] and "short" not in got[2][1]
-    for a, b, d in (("kitten", "sitting", 3), ("", "abc", 3), ("same", "same", 0)):
-        assert line_dedup.edit_distance(a, b) == d
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_edit_distances_against_plain_recurrence():
+    random.seed(11)
+    pairs = [("kitten", "sitting"), ("", "abc"), ("same", "same")]
+    for _ in range(900):
+        a = "".join(random.choice("abcdé中") for _ in range(random.choice([0, 1, 3, 10, 63, 64, 65, 128, 130, 200])))
+        b = list(a)
+        for _ in range(random.choice([0, 1, 5, 40])):
+            k = random.randrange(len(b) + 1)
+            b[k : k + random.randint(0, 2)] = random.choice(["", "z", "xy"])
+        pairs.append((a, "".join(b)) if random.random() < 0.5 else ("".join(b), a))
+    want = [_levenshtein(a, b) for a, b in pairs]
+    assert edit_kernels.edit_distances(pairs).tolist() == want
+    assert [edit_kernels.edit_distance(a, b) for a, b in pairs] == want
 
 
 def test_quality(spark):
@@ -134,7 +156,7 @@ def test_short_lines_that_are_similar_share_a_key():
                 k = random.randrange(len(b) + 1)
                 b[k : k + random.randint(0, 1)] = random.choice(["", "x", "yé"[random.randint(0, 1)]])
             b = "".join(b)
-            if a != b and max(len(a), len(b)) < line_dedup.EXACT and line_dedup.similar(a, b):
+            if a != b and max(len(a), len(b)) < line_dedup.EXACT and line_dedup.similar([(a, b)])[0]:
                 assert set(line_dedup.short_keys(a).tolist()) & set(line_dedup.short_keys(b).tolist()), (a, b)
 
 
@@ -152,7 +174,7 @@ def test_lines_against_brute_force(spark):
     label = list(range(len(lines)))
     for i, a in enumerate(lines):
         for j in range(i):
-            if label[i] != label[j] and line_dedup.similar(a, lines[j]):
+            if label[i] != label[j] and line_dedup.similar([(a, lines[j])])[0]:
                 least, most = sorted((label[i], label[j]))
                 label = [least if x == most else x for x in label]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect()}

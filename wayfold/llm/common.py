@@ -155,8 +155,10 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame
 
     The rows of hot keys would meet in one task, so those keys (at most HOT_PARTS,
     whatever the data) are broadcast, and the others join by a shuffle."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    least = max(200, -(-total // HOT_PARTS))
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(200, -(-(total or 0) // HOT_PARTS))
+    if (most or 0) <= least:
+        return rows.join(groups.hint("merge"), key)
     hot, cold = groups.filter(F.col(size) > least), groups.filter(F.col(size) <= least)
     few = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)
@@ -167,15 +169,15 @@ def linked_groups(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60
     """(node, root): the least node of each connected group, for the nodes that have links.
 
     Alternating large-star and small-star contraction; each round is a grouped minimum
-    (combined before the shuffle) and a join whose hot keys Spark may split, and is
+    (combined before the shuffle) and a join that takes hubs apart, and is
     written to the shared folder.  The rounds grow with the logarithm of the nodes."""
     spark = links.sparkSession
     edges = stash(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
-        met = both.join(least.hint("merge"), "u")
+        least = stash(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("m", "u")), "least")
+        met = attach(both, least, "u", "degree")
         if large:  # larger neighbours move to the least one
             out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # smaller neighbours and the node itself move to the least one
