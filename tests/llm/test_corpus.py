@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -57,6 +58,51 @@ def test_packing(spark, odd):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_pieces_are_those_of_the_library(spark):
+    path = words.public_path("word_bpe_49k.json")
+    t = words.tokenizer(path)
+    random.seed(4)
+    texts = ["word " * 3000, "many other words, and 12 signs! " * 900, "x" * 50_000, "the cat " * 511 + "sat", "", None, "".join(random.choice("abcdefg") for _ in range(30_000))]
+    rows = packing.pack_documents(frame(spark, list(enumerate(texts))), path).collect()
+    want = {}
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, k): (at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("least", [1, 90])
+def test_exchange_comes_near_the_optimum(spark, monkeypatch, least):
+    """Sizes that fill sequences exactly, dealt over many partitions."""
+    monkeypatch.setattr(packing, "PIECES", 60)
+    random.seed(6)
+    sizes = []
+    for _ in range(150):
+        left = 256
+        while left:
+            n = min(left, random.randint(least, 160))
+            n = left if left - n < least else n
+            sizes.append(n)
+            left -= n
+    rows = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(rows, 256).collect()
+    assert sorted(r.length for r in got) == sorted(sizes) and len({r.doc_id for r in got}) == len(sizes)
+    used = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 256
+    assert 150 <= len(used) <= (152 if least == 1 else 165)  # 150 is the optimum
+
+
+def test_a_lone_long_word_walks_as_the_library_does():
+    path = words.public_path("byte_bpe_50k.json")
+    t, automaton = words.tokenizer(path), bpe_codec.compiled(path)
+    random.seed(12)
+    for x in ("x" * 300_000, "".join(random.choice("abcdefghij") for _ in range(300_000)), "é" * 5000, "ing" * 1000, "中文" * 4000):
+        assert automaton.encode_words([x.encode()])[0] == t.encode(x, add_special_tokens=False).ids
+
+
 def test_lower_bound_is_one():
     assert packing.lower_bound(np.array([1025] * 5), 2048) == 5
     assert packing.lower_bound(np.array([1024] * 4), 2048) == 2

@@ -6,7 +6,9 @@ partitions of bounded size, and each is packed by best-fit decreasing.  Lower bo
 dual-feasible functions over the partition's sizes certify its count; where count and
 bound differ, the pieces of the sequences that are not full leave their partitions, are
 dealt anew together with those of the other such partitions, and are packed again.  A
-round is taken only if it saves sequences, and rounds end when none is left to save.
+round is taken only if it saves sequences.  Rounds go on until the count of all sequences meets
+the bound over all sizes, or PATIENCE rounds in a row save nothing; then the sequences
+that are not full in any partition, certified ones too, exchange their pieces in the same way.
 
 Ids are those of the library.  The distinct plain words of a batch are encoded by the
 token automaton, compiled from the same vocabulary; all else goes through the library itself.
@@ -31,6 +33,8 @@ from .token_automaton import END, TokenAutomaton
 VOCABULARY, CAPACITY = "word_bpe_49k.json", 2048
 #: Pieces of a partition, on average; a packing task holds some 20 MB.
 PIECES = 40_000
+#: Rounds in a row that may save nothing.
+PATIENCE = 2
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECE + ", sequence_id long, offset long, fill long, bins long, bound long"
 
@@ -78,9 +82,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """The most bins that dual-feasible functions prove necessary for the sizes."""
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    return bound_of(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity) if len(sizes) else 0
+
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """lower_bound, from the number of pieces of each size."""
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     # sizes over capacity - e count as whole, sizes under e as nothing
@@ -138,7 +144,7 @@ def _deal(rows: DataFrame, n: int, turn: int, capacity: int) -> DataFrame:
         order = np.lexsort((piece, doc, -size))
         bins, offsets, fills = best_fit(size[order].tolist(), capacity)
         bins, at = np.array(bins), TaskContext.get().partitionId()
-        out = t.take(pa.array(order)).append_column("sequence_id", pa.array(bins + (turn << 56) + (at << 32)))
+        out = t.take(pa.array(order)).append_column("sequence_id", pa.array(bins + (turn << 48) + (at << 24)))
         for name, v in (("offset", np.array(offsets)), ("fill", np.array(fills)[bins]), ("bins", np.full(len(bins), len(fills))), ("bound", np.full(len(bins), lower_bound(size, capacity)))):
             out = out.append_column(name, pa.array(v, pa.int64()))
         yield from out.combine_chunks().to_batches(max_chunksize=50_000)
@@ -148,24 +154,38 @@ def _deal(rows: DataFrame, n: int, turn: int, capacity: int) -> DataFrame:
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(parts, key).mapInArrow(run, _PACKED)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = 6) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """rows (doc_id, piece, start, length, ids_crc32) with their sequence_id and offset."""
-    done, pool, n = None, rows, rows.count()
-    used = None
-    for turn in range(rounds):
-        now = common.stash(_deal(pool, n, turn, capacity), "packed")
-        bins = now.filter("offset = 0").count()
-        if used is not None and bins >= used:
-            return done.unionByName(pool)
-        gap = (F.col("bins") > F.col("bound")) & (F.col("fill") < capacity)
-        settled, pool = now.filter(~gap), now.filter(gap)
-        done = settled if done is None else done.unionByName(settled)
-        n, used = pool.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("offset") == 0).cast("long")), F.lit(0))).first()
-        if used < 2:
-            break
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy("length").count().collect():  # up to `capacity` rows
+        count[r["length"]] = r["count"]
+    bound, open_ = bound_of(count, capacity), F.col("fill") < capacity
+    pool = common.stash(_deal(rows, int(count.sum()), 0, capacity), "packed")
+    n, used = _size(pool)
+    done, settled, turn = None, 0, 0  # of those that are settled: rows, sequences; the others are in the pool
+    for kind in ((F.col("bins") > F.col("bound")) & open_, open_):
+        every = pool if done is None else done.unionByName(pool)
+        total = settled + used
+        done, pool = every.filter(~kind), every.filter(kind)
+        n, used = _size(pool)
+        settled, idle = total - used, 0
+        while settled + used > bound and used > 1 and idle < PATIENCE:
+            turn += 1
+            now = common.stash(_deal(pool, n, turn, capacity), "packed")
+            bins = _size(now)[1]
+            idle = idle + 1 if bins >= used else 0
+            if bins < used:
+                done, pool = done.unionByName(now.filter(~kind)), now.filter(kind)
+                left = _size(pool)
+                settled, n, used = settled + bins - left[1], *left
     return done.unionByName(pool)
 
 
+def _size(packed: DataFrame) -> tuple[int, int]:
+    """(pieces, sequences)"""
+    return tuple(packed.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("offset") == 0).cast("long")), F.lit(0))).first())
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     got = pack(common.stash(pieces(docs, path, capacity), "pieces"), capacity)
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

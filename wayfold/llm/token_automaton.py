@@ -20,10 +20,13 @@ size depends on the vocabulary alone, never on the data.
 
 from __future__ import annotations
 
+import array
 import json
 
 import numpy as np
 
+#: Words of like length under which each walks alone.
+FEW = 150
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +83,7 @@ class TokenAutomaton:
     """Encoder and decoder for byte strings that were split beforehand (*words*)."""
 
     def __init__(self, labels: list[bytes | None], merges: list[tuple[int, int, int]]):
-        self.labels = labels
+        self.labels, self._tables = labels, None
         made = {m[2] for m in merges}
         base = [k for k, b in enumerate(labels) if b is not None and len(b.removesuffix(END)) == 1 and k not in made]
         self._sizes = np.array([len(b) if b else 0 for b in labels], np.int64)
@@ -180,27 +183,69 @@ class TokenAutomaton:
             more = more[~hit & (got != -1)]
         return out
 
-    def encode_words(self, words: list[bytes], raw: bool = False) -> list:
-        """Ids of each word, as a list or (raw) as the bytes of little-endian 32-bit numbers;
-        all words advance together, position by position."""
-        out: list = [b"" if raw else []] * len(words)
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word.  Words of like length advance together, position by position; where
+        there are few of a length, each walks alone."""
+        out: list = [[]] * len(words)
         sizes = np.array([len(w) for w in words], np.int64)
         order = np.argsort(sizes, kind="stable")
         sizes = sizes[order]
-        lo, unit = 0, 4 if raw else 1
+        lo = 0
         while lo < len(order):  # words of like length share a table of bounded size
             hi = int(np.searchsorted(sizes, 2 * max(1, sizes[lo]) + 8, side="right"))
             hi = max(lo + 1, min(hi, lo + 4_000_000 // int(sizes[hi - 1] + 1)))
             part = order[lo:hi].tolist()
-            flat, counts = self._encode([words[i] for i in part], sizes[lo:hi])
-            values = flat.astype("<u4").tobytes() if raw else flat.tolist()
-            at = 0
-            for i, n in zip(part, (counts * unit).tolist(), strict=True):
-                out[i] = values[at : at + n]
-                at += n
+            if len(part) < FEW:
+                for i in part:
+                    out[i] = self.walk(words[i])
+            else:
+                flat, counts = self._encode([words[i] for i in part], sizes[lo:hi])
+                values, at = flat.tolist(), 0
+                for i, n in zip(part, counts.tolist(), strict=True):
+                    out[i] = values[at : at + n]
+                    at += n
             lo = hi
         return out
 
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": None}
+
+    def _plain(self):
+        """The tables as Python's own objects, for single look-ups; made once in each worker."""
+        if self._tables is None:
+            used = np.flatnonzero(self.keys != -1)
+            steps = dict(zip(self.keys[used].tolist(), self.vals[used].tolist(), strict=True))
+            arcs = memoryview(np.ascontiguousarray(self.bits)).cast("B")
+            self._tables = steps, self.ends.tolist(), (self.row.astype(np.int64) * self.bits.shape[1]).tolist(), self.target.tolist(), arcs
+        return self._tables
+
+    def walk(self, word: bytes) -> list[int]:
+        """Ids of one word of any length, by some microseconds a byte."""
+        steps, ends, rows, target, arcs = self._plain()
+        n = len(word)
+        last = array.array("i", [-1]) * (n + 1)  # last label of the only accepted path to each position
+        find = steps.get
+        for j in range(n):
+            if j and last[j] < 0:
+                continue
+            state = target[last[j]] if j else 0
+            byte, bit = state >> 3, state & 7
+            node, i = find(word[j]), j + 1
+            while node is not None:
+                k = ends[node]
+                if k >= 0 and arcs[rows[k] + byte] >> bit & 1:
+                    last[i] = k
+                if i == n:
+                    break
+                node = find(node << 8 | word[i])
+                i += 1
+        out, at, labels = [], n, self.labels
+        while at > 0:
+            out.append(last[at])
+            at -= len(labels[last[at]])
+        out.reverse()
+        return out
+
     def _encode(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of each word's)."""
         n, most = len(words), int(sizes.max(initial=0))
