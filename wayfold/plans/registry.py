@@ -275,14 +275,14 @@ def j13_cover(spark, sf_dir):
 _NEAREST5 = with_views("emb") + _BOX + ", p AS (SELECT a.traj_id AS src, b.traj_id AS dst, sqrt(power(greatest(0, a.x0-b.x1, b.x0-a.x1), 2) + power(greatest(0, a.y0-b.y1, b.y0-a.y1), 2)) AS gap FROM box a JOIN box b ON a.traj_id <> b.traj_id), n AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY gap, dst) AS r FROM p) WHERE r <= 30), s AS (SELECT src, dst FROM n WHERE (src + dst) % 7 = 0)"
 
 
-@query(_NEAREST5 + " SELECT src, dst FROM s UNION ALL SELECT src, dst FROM (SELECT n.src, n.dst, row_number() OVER (PARTITION BY n.src ORDER BY (n.dst * 2654435761 + 7) % 4294967296, n.dst) AS r, coalesce(h.have, 0) AS have FROM n LEFT JOIN (SELECT src, count(*) AS have FROM s GROUP BY 1) h ON h.src = n.src WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.src = n.src AND s.dst = n.dst)) WHERE r <= 10 - have")
+@query(_NEAREST5 + " SELECT src, dst FROM s UNION ALL SELECT src, dst FROM (SELECT n.src, n.dst, row_number() OVER (PARTITION BY n.src ORDER BY ((n.dst % 2147483648) * 2654435761 + 7) % 4294967296, n.dst) AS r, coalesce(h.have, 0) AS have FROM n LEFT JOIN (SELECT src, count(*) AS have FROM s GROUP BY 1) h ON h.src = n.src WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.src = n.src AND s.dst = n.dst)) WHERE r <= 10 - have")
 def j14_padded(spark, sf_dir):
     t = views.emb(spark, sf_dir)
     near = pairs.nearest_boxes(t, t, 30)
     return pairs.padded(near.filter("(src + dst) % 7 = 0").select("src", "dst"), near, 10)
 
 
-@query(_NEAREST5 + " SELECT src, dst FROM (SELECT a.src, b.traj_id AS dst, row_number() OVER (PARTITION BY a.src ORDER BY ((b.traj_id + a.src) * 2654435761 + 7) % 4294967296, b.traj_id) AS r FROM (SELECT DISTINCT src FROM n) a JOIN box b ON a.src <> b.traj_id WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.src = a.src AND n.dst = b.traj_id)) WHERE r <= 5")
+@query(_NEAREST5 + " SELECT src, dst FROM (SELECT a.src, b.traj_id AS dst, row_number() OVER (PARTITION BY a.src ORDER BY (((b.traj_id + a.src) % 2147483648) * 2654435761 + 7) % 4294967296, b.traj_id) AS r FROM (SELECT DISTINCT src FROM n) a JOIN box b ON a.src <> b.traj_id WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.src = a.src AND n.dst = b.traj_id)) WHERE r <= 5")
 def j15_far_random(spark, sf_dir):
     t = views.emb(spark, sf_dir)
     return pairs.far_random(pairs.nearest_boxes(t, t, 30), t, 5)

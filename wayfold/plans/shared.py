@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,22 +12,45 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the query side of a pair join is broadcast.
 BROADCAST_ROWS = 5_000
+_SCRATCH: dict[str, SparkSession] = {}
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """The folder that all executors share.  Where the session names none, a temporary one serves
+    in local mode; on a cluster that is an error, since executors do not see each other's folders."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="wayfold-")
+    return _LOCAL[app]
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    root = f"{shared_dir(spark)}/wayfold-{spark.sparkContext.applicationId}"
+    _SCRATCH[root] = spark
+    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the folder that all executors share and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfold-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    """Write df to the shared folder and read it back: lineage ends here, and a lost
+    executor costs no recomputation.  The files go when the driver's Python ends."""
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def drop_scratch() -> None:
+    """Delete the scratch tables of sessions that still run."""
+    while _SCRATCH:
+        root, spark = _SCRATCH.popitem()
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def all_pairs(queries: DataFrame, data: DataFrame, condition: Column) -> DataFrame:
@@ -46,4 +71,5 @@ def all_pairs(queries: DataFrame, data: DataFrame, condition: Column) -> DataFra
 
 def arithmetic_hash(c: Column, seed: int) -> Column:
     """A number in [0, 2**32) that any SQL engine computes alike."""
-    return (c.cast("long") * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    low = F.pmod(c.cast("long"), F.lit(1 << 31))  # so that no product overflows
+    return F.pmod(low * F.lit(2654435761) + F.lit(seed), F.lit(4294967296))
