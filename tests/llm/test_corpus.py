@@ -1,11 +1,13 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from wayfold.llm import bpe_codec, edit_kernels, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, words
@@ -136,6 +138,48 @@ def test_exact_dedup(spark):
     assert exact_dedup.keep_distinct(frame(spark, rows)).count() == 5
 
 
+def test_a_later_batch_meets_the_index(spark, tmp_path):
+    """Brute force over batches: a text is kept once, by the batch that brought it first; a batch that runs again gets the same."""
+    at, seen = str(tmp_path / "index"), {}
+    batches = {"a": [(1, "A"), (2, "a"), (3, "b"), (4, None)], "b": [(5, "B"), (6, "c"), (7, "C"), (8, "")], "c": [(9, "a"), (10, "d"), (None, "c"), (None, "e")]}
+    for turn in ("a", "b", "a", "c", "b"):
+        rows, want = batches[turn], []
+        norm = [(t or "").lower() for _, t in rows]
+        for (i, _), t in zip(rows, norm, strict=True):
+            best = max((j for (j, _), u in zip(rows, norm, strict=True) if u == t and j is not None), default=None)
+            own, keep = seen.setdefault(t, (turn, best))
+            want.append((i, keep, norm.count(t), own == turn and i == keep))
+        got = exact_dedup.exact_dedup(frame(spark, rows), at, turn).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter(want)
+        kept = Counter(r.doc_id for r in exact_dedup.keep_distinct(frame(spark, rows), at, turn).collect())
+        assert kept == Counter(i for i, _, _, k in want if k)
+    assert spark.read.parquet(at).count() == len(seen)
+
+
+def test_counts_come_from_the_cache(spark, tmp_path, monkeypatch):
+    path, at, encoded = words.public_path("byte_bpe_50k.json"), str(tmp_path / "cache"), spark.sparkContext.accumulator(0)
+    real = token_counts._encoder
+
+    def counting(p):
+        def run(batches):
+            for b in real(p)(batches):
+                encoded.add(b.num_rows)
+                yield b
+
+        return run
+
+    monkeypatch.setattr(token_counts, "_encoder", counting)
+    t = words.tokenizer(path)
+    version = token_counts.version_of(path)
+    for name, rows, misses in ((version, [(1, "one"), (2, "two"), (3, "two"), (4, None)], 3), (version, [(5, "two"), (6, "three"), (7, "")], 1), (version, [(5, "two"), (6, "three")], 0), ("another", [(5, "two"), (8, "four")], 2), (version, [(8, "four")], 1)):
+        monkeypatch.setattr(token_counts, "version_of", lambda p, name=name: name)
+        before = encoded.value
+        got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(frame(spark, rows), path, at).collect()}
+        assert got == {i: (len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows}
+        assert encoded.value - before == misses
+    assert spark.read.parquet(at).count() == 7
+
+
 def test_jaccard(spark):
     a = " ".join(f"w{i}" for i in range(60))
     rows = [(1, a), (2, a + " tail"), (3, a.upper()), (4, "other text of few words here"), (5, None), (6, "x"), (7, "x")]
@@ -185,11 +229,83 @@ def test_quality(spark):
     assert len(judged) == len(rows) and all(r.base_failed and not r.kept for r in judged if r.doc_id >= 900)
 
 
+def test_quality_rules_against_brute_force(spark):
+    random.seed(9)
+    vocabulary = [f"w{k}" for k in range(300)] + ["the", "of", "é", "$5", "#x", "<b>", "|"]
+    rows = []
+    for i in range(120):
+        ws = random.choices(vocabulary[:150] if i % 3 else vocabulary, k=random.choice([0, 3, 9, 10, 40, 80]))
+        if i % 5 == 0 and len(ws) > 20:
+            ws[10:10] = ws[:8]
+        text = "".join(w + random.choice([" ", " ", "\n", "\t", "\x0b", "  "]) for w in ws)
+        rows.append((i, text + ("\n" + text if i % 7 == 0 else "")))
+    rows += [(500, None), (501, ""), (502, " \n "), (503, "\u00a0 a\u2003b")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    space = re.compile("[ \t-\r]+")
+    ws_of = {i: [w for w in space.split(t or "") if w] for i, t in rows}
+    size = quality_rules.BUCKETS
+
+    def grams(ws):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+        two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:], strict=False)]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return [signed(x) % size for x in h] + [size + signed(x) % size for x in two]
+
+    trusted = {i for i in range(120) if i % 3 > 0 and zlib.crc32(str(i).encode()) % 4 != 2}
+    raw = Counter(g for ws in ws_of.values() for g in grams(ws))
+    target = Counter(g for i in trusted for g in grams(ws_of[i]))
+    weight = {}
+    for lo in (0, size):
+        t, r = (sum(n for g, n in c.items() if lo <= g < lo + size) for c in (target, raw))
+        weight |= {g: np.log((target[g] + 0.5) / (t + 0.5 * size)) - np.log((n + 0.5) / (r + 0.5 * size)) for g, n in raw.items() if lo <= g < lo + size}
+    llr = {i: float(np.mean([weight[g] for g in grams(ws)])) if ws else 0.0 for i, ws in ws_of.items()}
+    least = np.mean([llr[i] for i in trusted if len(ws_of[i]) >= 10]) - quality_rules.MARGIN
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, rows), labels).collect()}
+    for i, t in rows:
+        t, ws = t or "", ws_of[i]
+        windows = [tuple(ws[k : k + 5]) for k in range(len(ws) - 4)]
+        twice = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(5)}
+        lines = [x for x in t.split("\n") if space.sub("", x)]
+        base = (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(twice))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
+        assert r.base_failed == (base[0] < 10 or 100 * base[4] > 20 * base[0])
+        assert np.isclose(r.llr, llr[i]) and r.kept == (not r.base_failed and llr[i] >= least)
+
+
 def test_language(spark):
     rows = [(i, ("the and of with " if i % 2 else "der und die mit ") * (1 + i % 7), "en" if i % 2 else "de") for i in range(100)]
-    docs = spark.createDataFrame([*rows, (200, None, "en"), (201, "12 %", "de")], SCHEMA + ", lang string")
-    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()}
-    assert got[200] == got[201] == "und" and all(got[i] == x for i, _, x in rows)
+    odd = [(200, None, "en"), (201, "12 %", "de"), (202, "\u00bd \u00b2 \u2460 \u2169", "en"), (203, "_", "de")]  # numerals are no letters
+    docs = spark.createDataFrame([*rows, *odd], SCHEMA + ", lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert all(got[i] == ("und", 0.0) for i, _, _ in odd) and all(got[i][0] == x and 0 < got[i][1] <= 1 for i, _, x in rows)
+
+
+def test_language_model_against_plain_counts(spark):
+    """Log-probabilities of hashed n-grams, counted one by one."""
+    rows = [(i, ("the and of with " if i % 3 else "der und die mit ") * (1 + i % 7), "en" if i % 3 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", lang string")
+    model = language_id.fit(docs)
+    learnt = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    size = language_id.BUCKETS
+
+    def grams(t):
+        flat = np.array([ord(c) for c in t.lower()], np.uint32)
+        return [int(h[k]) for n, h in language_id._hashes(flat) for k in range(len(t) - n + 1)]
+
+    for k, lang in enumerate(("de", "en")):
+        own = [t for t, x in learnt if x == lang]
+        assert model.langs[k] == lang and np.isclose(model.priors[k], np.log(len(own) / len(learnt)))
+        seen = Counter(h for t in own for h in grams(t))
+        for part in range(3):
+            total = sum(n for h, n in seen.items() if h // size == part)
+            want = {h: np.log((n + 0.5) / (total + 0.5 * size)) for h, n in seen.items() if h // size == part}
+            assert all(np.isclose(model.logs[k, h], v, atol=1e-5) for h, v in want.items())
+    for t in ("the die", "mit with of", "a"):
+        logs = model.priors + np.array([sum(float(model.logs[k, h]) for h in grams(t)) for k in (0, 1)])
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        names, scores = model.predict([t])
+        assert names == [model.langs[int(p.argmax())]] and np.isclose(scores[0], p.max(), atol=1e-4)
 
 
 def test_short_lines_that_are_similar_share_a_key():

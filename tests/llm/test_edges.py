@@ -10,7 +10,7 @@ from wayfold.llm import bpe_codec, common, exact_dedup, jaccard_join, language_i
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
-CLASHING = ["id", "z", "root", "n", "score", "digest", "tokens", "path", "copies", "spans", "label", "t", "grams"]
+CLASHING = ["id", "z", "root", "n", "score", "digest", "tokens", "path", "copies", "spans", "label", "t", "grams", "_0", "_1", "_2", "__id", "__digest", "__score", "__doc", "__null", "__d", "__r", "__t", "class_id", "n_links", "keep_id", "held_out", "data"]
 
 
 def frame(spark, rows):
@@ -34,7 +34,7 @@ OPERATORS = {
     "quality_rules": lambda d, y: quality_rules.judge(d, y),
     "jaccard_join": lambda d, y: jaccard_join.similarity_classes(d),
     "packing": lambda d, y: packing.pack_documents(d, words.public_path(packing.VOCABULARY)),
-    "token_counts": lambda d, y: token_counts.count_tokens(d, byte_bpe(), common.scratch_path(d.sparkSession, "cache")),
+    "token_counts": lambda d, y: token_counts.count_tokens(d, byte_bpe()),
     "line_dedup": lambda d, y: line_dedup.dedup_lines(d),
     "bpe_codec": lambda d, y: bpe_codec.round_trip(d, byte_bpe()),
 }
@@ -68,6 +68,7 @@ def test_stages(spark, tmp_path, name):
         found = got.collect()
         if name != corpus_pipeline.STAGES[-1][0]:
             assert got.columns == docs.columns
+            assert all(r[c] == "x" for r in found for c in CLASHING)
             assert {r.doc_id for r in found} <= {i for i, _ in rows}
         assert bool(found) == bool(rows)
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,9 +9,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.plans.shared import scratch_path, shared_dir, stash
+
+__all__ = ["attach", "by_rows", "held_out", "linked_groups", "scratch_path", "shared_dir", "sorted_groups", "stash", "table", "task_count", "text_rows", "whole", "with_id"]
+
 #: A key with more than this part of all rows is *hot*; there are at most HOT_PARTS such keys.
 HOT_PARTS = 256
-_SCRATCH: dict[str, SparkSession] = {}
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -25,40 +24,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.  One is chosen only where the session names none."""
-    bounded_batches(spark)
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    where = tempfile.mkdtemp(prefix="wayfold-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    root = f"{shared_dir(spark)}/wayfold-{spark.sparkContext.applicationId}"
-    _SCRATCH[root] = spark
-    return f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost
-    executor costs no recomputation.  The files go when the driver's Python ends."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def drop_scratch() -> None:
-    """Delete the scratch tables of sessions that still run."""
-    while _SCRATCH:
-        root, spark = _SCRATCH.popitem()
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,11 +52,17 @@ def sampled_labels(labels: DataFrame, column: str, most: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def whole(columns: list[str]) -> Column:
+    """All columns of a row as one, so that what is put beside it clashes with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
 #: Stands for a null doc_id, and comes before all others.
 NULL_ID = -(1 << 63)
 
 
 def with_id(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
 
 
@@ -102,15 +73,17 @@ def by_rows(docs: DataFrame, run: Callable[[DataFrame], DataFrame], *held: str)
     texts; the numbers stand for doc_ids in run, and the columns `held` of its result get their doc_ids back."""
     if with_id(docs.select("doc_id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         return run(docs)
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    rows = docs.withColumn("__doc", F.col("doc_id")).repartitionByRange(task_count(docs, 16 << 20), *order).sortWithinPartitions(*order)
-    rows = stash(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
-    got = run(rows.drop("__doc"))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    order = [F.col("_1").asc_nulls_first(), F.xxhash64("_2.text").asc(), F.xxhash64("_2").asc()]
+    rows = docs.select(F.col("doc_id").alias("_1"), whole(rest).alias("_2")).repartitionByRange(task_count(docs, 16 << 20), *order).sortWithinPartitions(*order)
+    rows = stash(rows.withColumn("_0", F.monotonically_increasing_id()), "rows")
+    got = run(rows.select(*[(F.col("_0") if c == "doc_id" else F.col("_2")[c]).alias(c) for c in docs.columns]))
     columns = got.columns
-    for c in held:
-        own = F.col("__doc") if c == "doc_id" else F.coalesce(F.col("__doc").cast("long"), F.lit(NULL_ID))
-        got = got.join(rows.select(F.col("doc_id").alias(c), "__doc").hint("merge"), c).withColumn(c, own).drop("__doc")
-    return got.select(*[F.col(f"`{c}`") for c in columns])
+    for c in held:  # the row is one column while its doc_id comes back
+        names = rows.select(F.col("_0"), (F.col("_1") if c == "doc_id" else F.coalesce(F.col("_1").cast("long"), F.lit(NULL_ID))).alias("_1"))
+        got = got.select(F.col(c).alias("_0"), whole([x for x in columns if x != c]).alias("_2")).join(names.hint("merge"), "_0")
+        got = got.select(*[(F.col("_1") if x == c else F.col("_2")[x]).alias(x) for x in columns])
+    return got
 
 
 def _zipped(batches):

@@ -7,25 +7,29 @@ buckets numbers at most, whatever the data, and the log-probability matrix goes
 tasks.  A batch is scored as a sparse product: a text's n-grams are its row's entries,
 gathered from the matrix and added up between row bounds.
 
-Null texts and texts without a letter are `und` with score 0.  The score is the posterior
-probability, evidence counted as that of EVIDENCE characters at most.  Null languages teach nothing; without any learned
-language all rows are `und`.  Each row gets its row; extra columns are not read.
+Null texts and texts without a letter (Unicode's categories L*) are `und` with score 0.  The score is the
+posterior probability under priors from the training documents.  Null languages teach nothing; without any learned
+language all rows are `und`; more than LANGUAGES of them are an error, since the matrix has a row for each.
+Each row gets its row, repeated rows too; extra columns are not read; no rows give no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
-SMOOTHING, EVIDENCE = 0.5, 200
-_LETTER = re.compile(r"[^\W\d_]")
+SMOOTHING = 0.5
+#: Bound of the matrix on the driver and in each task: 200 MB.
+LANGUAGES = 500
+_LETTER = regex.compile(r"\p{L}")
+#: Stands for a document in place of a bucket.
+_DOCUMENT = -1
 _FACTORS = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 _SHIFT = np.uint32(17)  # 32 bits less those of BUCKETS
 
@@ -78,7 +82,8 @@ def _counts(batches):
                         inside &= ~ends[j : len(flat) - n + 1 + j]
                     total += np.bincount(h[inside], minlength=len(total))
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "h", "n"])
+            bucket, n = np.append(at, _DOCUMENT), np.append(total[at], len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], ["lang", "h", "n"])
 
 
 class Model:
@@ -90,7 +95,6 @@ class Model:
         for run in _slices(texts, 500_000):
             flat, bounds = _points(run)
             logs = np.zeros((len(self.langs), len(run)))
-            sizes = np.diff(bounds) - 1
             for n, h in _hashes(flat):
                 starts, stops = bounds[:-1], bounds[1:] - n
                 own = np.flatnonzero(stops > starts)
@@ -104,7 +108,6 @@ class Model:
                     if tail:
                         sums[-1] = terms[starts[own][-1] :].sum(dtype=np.float64)
                     logs[k, own] += sums
-            logs *= np.minimum(1.0, EVIDENCE / np.maximum(1, sizes))
             logs += self.priors[:, None]
             best = logs.argmax(axis=0)
             p = 1 / np.exp(logs - logs.max(axis=0)).sum(axis=0)
@@ -117,18 +120,21 @@ class Model:
 
 def fit(docs: DataFrame) -> Model | None:
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out()).select("lang", "text")
-    found = rows.mapInArrow(_counts, "lang string, h int, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    t = found.toArrow()
-    langs = sorted(set(t.column("lang").to_pylist()))
-    if not langs:
+    found = common.stash(rows.mapInArrow(_counts, "lang string, h int, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")), "grams")
+    known = found.filter(F.col("h") == _DOCUMENT).select("lang", "n").orderBy("lang").limit(LANGUAGES + 1).collect()
+    if len(known) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not known:
         return None
+    langs, docs_of = [r.lang for r in known], np.array([r.n for r in known], np.float64)
+    t = found.filter(F.col("h") != _DOCUMENT).toArrow()
     place = {x: k for k, x in enumerate(langs)}
     counts = np.full((len(langs), BUCKETS * len(ORDERS)), SMOOTHING)
     counts[[place[x] for x in t.column("lang").to_pylist()], t.column("h").to_numpy()] += t.column("n").to_numpy()
     for k in range(len(ORDERS)):
         part = counts[:, k * BUCKETS : (k + 1) * BUCKETS]
         part /= part.sum(axis=1, keepdims=True)
-    return Model(langs, np.log(counts).astype(np.float32), np.full(len(langs), -np.log(len(langs))))
+    return Model(langs, np.log(counts).astype(np.float32), np.log(docs_of / docs_of.sum()))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

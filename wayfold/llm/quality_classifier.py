@@ -1,7 +1,7 @@
 """Quality classifier: a regularised quadratic discriminant over document statistics.
 
 Each text gives a short vector of transformed statistics (shares of capitals, symbols,
-repeats ...; shares go through a log-odds map, counts through a logarithm).  Each class
+repeats ...; shares go through a log-odds map, the length of words through a logarithm); a text's length is none of them.  Each class
 has a mean and a covariance that is shrunk towards the diagonal of the pooled one; the
 Cholesky factor of each is computed once, on the driver, and its inverse goes with the
 task.  A score is the logistic of the difference of the two log densities, plus priors.
@@ -29,9 +29,10 @@ SAMPLE = 40_000
 CUTOFF = 0.7
 #: Weight of the pooled diagonal in each class's covariance, and the least variance.
 SHRINKAGE, LEAST_VARIANCE = 0.1, 1e-3
+LEAST_SHARE = 1e-3
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>!@^~=+_\\{}[]"
-NAMES = ["capital_pairs", "symbols", "digits", "other_ascii", "repeated_words", "repeated_pairs", "distinct_words", "word_length", "n_words"]
+NAMES = ["capital_pairs", "symbols", "digits", "other_ascii", "repeated_words", "repeated_pairs", "distinct_words", "word_length"]
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[97:123] = 1
 _CLASS[65:91] = 2
@@ -42,10 +43,9 @@ _CLASS[128:] = 1
 _CLASS[[9, 10, 11, 12, 13, 32]] = 6
 
 
-def _odds(share: float, n: float) -> float:
-    """Log-odds of a share seen among n, held off the ends by half a count."""
-    k = share * n
-    return math.log((k + 0.5) / (n - k + 0.5))
+def _odds(share: float) -> float:
+    """Log-odds of a share, held off the ends by LEAST_SHARE, whatever the length of the text."""
+    return math.log((share + LEAST_SHARE) / (1 - share + LEAST_SHARE))
 
 
 def statistics(text: str | None) -> list[float]:
@@ -58,18 +58,15 @@ def statistics(text: str | None) -> list[float]:
     n = max(1, len(ws))
     same = sum(map(str.__eq__, ws, ws[1:]))
     pairs = len(set(zip(ws, ws[1:], strict=False)))
-    cap = 200.0  # a share's evidence is counted as that of this many words at most, so that length alone decides nothing
-    m = min(float(n), cap)
     return [
-        _odds(shouts / max(1, kinds[1] + kinds[2]), m * 4),
-        _odds(kinds[4] / chars, m * 4),
-        _odds(kinds[3] / chars, m * 4),
-        _odds(kinds[5] / chars, m * 4),
-        _odds(same / n, m),
-        _odds(max(0.0, 1 - pairs / max(1, len(ws) - 1)) if len(ws) > 1 else 0.0, m),
-        _odds(len(set(ws)) / n, m),
+        _odds(shouts / max(1, kinds[1] + kinds[2])),
+        _odds(kinds[4] / chars),
+        _odds(kinds[3] / chars),
+        _odds(kinds[5] / chars),
+        _odds(same / n),
+        _odds(max(0.0, 1 - pairs / max(1, len(ws) - 1)) if len(ws) > 1 else 0.0),
+        _odds(len(set(ws)) / n),
         math.log(chars / n + 1),
-        math.log1p(min(len(ws), cap)),
     ]
 
 
@@ -149,8 +146,9 @@ def scored(docs: DataFrame, model: Discriminant, name: str = "score") -> DataFra
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects; the columns stay as they are."""
-    got = scored(docs, fit(docs, labels), "__score")
-    return got.filter(F.col("__score") >= CUTOFF).drop("__score")
+    rows = docs.select("text", common.whole([c for c in docs.columns if c != "text"]).alias("_2"))
+    got = scored(rows, fit(docs, labels)).filter(F.col("score") >= CUTOFF)
+    return got.select(*[(F.col("text") if c == "text" else F.col("_2")[c]).alias(c) for c in docs.columns])
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,10 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
+    "quality_rules_base": quality_rules.quality_rules_base,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op6_ngram_jaccard_join": jaccard_join.OP6_SQL,
+    "quality_rules_base": quality_rules.BASE_SQL,
 }

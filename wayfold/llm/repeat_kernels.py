@@ -145,12 +145,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
-def not_first(ids: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """Sort a bucket table by identifier, then place: (order, members that have an earlier equal, first of each bucket)."""
-    order = np.lexsort((start, doc, ids))
-    i, d, s = ids[order], doc[order], start[order]
+def not_first(bucket: np.ndarray, ids: np.ndarray, doc: np.ndarray, start: np.ndarray):
+    """Sort each bucket by identifier, then place: (order, members that have an earlier equal, first of each refined bucket)."""
+    order = np.lexsort((start, doc, ids, bucket))
+    b, i, d, s = bucket[order], ids[order], doc[order], start[order]
     new = np.ones(len(i), bool)
-    new[1:] = i[1:] != i[:-1]
+    new[1:] = (i[1:] != i[:-1]) | (b[1:] != b[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(i)), 0))
     late = (d != d[head]) | (s != s[head])
     return order, late, new
