@@ -171,7 +171,7 @@ def _scan(c: Costs, m, n, metric: str, after: np.ndarray | None, delay: int | No
         hi[better] = np.where(own, j, n - 1)[better]
         waited[better] = 0
         if delay is None:
-            start[better] = j[better] + 1 if after is None else j[better] + 1
+            start[better] = j[better] + 1
             j += live
             continue
         worse = live & ~better

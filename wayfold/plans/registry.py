@@ -32,16 +32,16 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
-# --- point costs (P1-P8): each query point against the data points at its place -------------------------------------
+# --- point costs (P1-P8): each query point against the four data points at its place -------------------------------------
 
-_AT = with_views("emb", "qemb") + ", p AS (SELECT query_id, traj_id, e.pos, q.x qx, q.y qy, e.x, e.y, sqrt((q.x-e.x)*(q.x-e.x)+(q.y-e.y)*(q.y-e.y)) d FROM qemb q JOIN emb e ON q.pos = e.pos)"
+_AT = with_views("emb", "qemb") + ", p AS (SELECT query_id, traj_id, e.pos, q.x qx, q.y qy, e.x, e.y, sqrt((q.x-e.x)*(q.x-e.x)+(q.y-e.y)*(q.y-e.y)) d FROM qemb q JOIN emb e ON q.pos = e.pos // 4)"
 
 
 def _aligned(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    q = views.beginnings(t, 5, 8).select("query_id", F.posexplode("q_pts").alias("pos", "q"))
-    d = t.select("traj_id", F.posexplode(F.slice("pts", 1, 8)).alias("pos", "p"))
-    return d.join(F.broadcast(q), "pos")  # 5 queries of 8 points
+    q = views.coarse(t).select("query_id", F.posexplode("q_pts").alias("pos", "q"))
+    d = t.select("traj_id", F.posexplode("pts").alias("pos", "p"))
+    return all_pairs(q.withColumnRenamed("pos", "q_pos"), d, F.floor(F.col("pos") / 4) == F.col("q_pos"))
 
 
 def _cost_query(name, sql, cost):
@@ -61,11 +61,11 @@ _cost_query("p6_cost_by_name", "CASE WHEN d > 0.2 THEN 1.0::DOUBLE ELSE 0 END",
 _cost_query("p7_edr_match", "CASE WHEN d <= 0.1 THEN 1.0::DOUBLE ELSE 0 END", lambda a, b: fp.edr_match(a, b, 0.1).cast("double"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < 5")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0")
 def p8_squared_l2(spark, sf_dir):
     e = views.table(spark, sf_dir, "embeddings")
-    a = e.filter("vec_id < 5").select(F.col("vec_id").alias("a"), F.col("embedding").alias("v"))
-    return e.join(F.broadcast(a)).select("a", F.col("vec_id").alias("b"), r6(fp.squared_l2(F.col("v"), F.col("embedding"))).alias("d"))
+    a = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("v"))
+    return all_pairs(a, e.select(F.col("vec_id").alias("b"), "embedding"), F.lit(True)).select("a", "b", r6(fp.squared_l2(F.col("v"), F.col("embedding"))).alias("d"))
 
 
 # --- filters and projections (F1-F12, S16, E5) ----------------------------------------------------------------------
@@ -124,10 +124,10 @@ def f8_truncated(spark, sf_dir):
     return t.select("traj_id", F.size("pts").cast("long").alias("n"), r6(F.aggregate("pts", F.lit(0.0), lambda s, p: s + p["x"])).alias("sx"))
 
 
-@query(with_views("evt") + ", n AS (SELECT traj_id, count(*) AS n FROM evt GROUP BY 1) SELECT a.traj_id AS query_id, b.traj_id FROM n a JOIN n b ON a.traj_id <> b.traj_id AND b.n > least(a.n, 60) WHERE a.traj_id < 8")
+@query(with_views("evt") + ", n AS (SELECT traj_id, count(*) AS n FROM evt GROUP BY 1) SELECT a.traj_id AS query_id, b.traj_id FROM n a JOIN n b ON a.traj_id <> b.traj_id AND b.n > a.n WHERE a.traj_id % 100 = 0")
 def f9_eligible(spark, sf_dir):
     t = views.evt(spark, sf_dir)
-    return pairs.eligible(views.beginnings(t, 8, 60), t).select("query_id", "traj_id")
+    return pairs.eligible(views.queries(t), t).select("query_id", "traj_id")
 
 
 @query(with_views("emb") + " SELECT traj_id, round(sum(y * pos), 6) AS sx, round(sum(x * pos), 6) AS sy FROM emb GROUP BY 1")
@@ -192,7 +192,7 @@ _BOX = ", box AS (SELECT traj_id, min(x) x0, min(y) y0, max(x) x1, max(y) y1 FRO
 @query(with_views("emb", "qemb") + " SELECT DISTINCT query_id, traj_id FROM qemb, emb WHERE query_id <> traj_id")
 def j1_all_pairs(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    return pairs.eligible(views.beginnings(t, 5, 8), t).select("query_id", "traj_id")
+    return pairs.eligible(views.coarse(t), t).select("query_id", "traj_id")
 
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
@@ -272,14 +272,17 @@ def j13_cover(spark, sf_dir):
     return pairs.cover(pairs.within_eta(near, p, 0.015, 0.02, (0.0, 0.0)))
 
 
-_NEAREST5 = with_views("emb") + _BOX + ", p AS (SELECT a.traj_id AS src, b.traj_id AS dst, sqrt(power(greatest(0, a.x0-b.x1, b.x0-a.x1), 2) + power(greatest(0, a.y0-b.y1, b.y0-a.y1), 2)) AS gap FROM box a JOIN box b ON a.traj_id <> b.traj_id), n AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY gap, dst) AS r FROM p) WHERE r <= 30), s AS (SELECT src, dst FROM n WHERE (src + dst) % 7 = 0)"
+_NEAREST5 = with_views("emb") + _BOX + ", p AS (SELECT a.traj_id AS src, b.traj_id AS dst, sqrt(power(greatest(0, a.x0-b.x1, b.x0-a.x1), 2) + power(greatest(0, a.y0-b.y1, b.y0-a.y1), 2)) AS gap FROM box a JOIN box b ON a.traj_id <> b.traj_id), n AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY gap, dst) AS r FROM p) WHERE r <= 30)"
+_SURVIVORS = with_views("evt") + _NEAR + _BOX.replace("emb", "evt") + _NEAREST5.partition(_BOX)[2] + ", s AS (SELECT src, dst FROM n SEMI JOIN (SELECT DISTINCT src, dst FROM eta) USING (src, dst))"
 
 
-@query(_NEAREST5 + " SELECT src, dst FROM s UNION ALL SELECT src, dst FROM (SELECT n.src, n.dst, row_number() OVER (PARTITION BY n.src ORDER BY ((n.dst % 2147483648) * 2654435761 + 7) % 4294967296, n.dst) AS r, coalesce(h.have, 0) AS have FROM n LEFT JOIN (SELECT src, count(*) AS have FROM s GROUP BY 1) h ON h.src = n.src WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.src = n.src AND s.dst = n.dst)) WHERE r <= 10 - have")
+@query(_SURVIVORS + " SELECT src, dst FROM s UNION ALL SELECT src, dst FROM (SELECT n.src, n.dst, row_number() OVER (PARTITION BY n.src ORDER BY ((n.dst % 2147483648) * 2654435761 + 7) % 4294967296, n.dst) AS r, coalesce(h.have, 0) AS have FROM n LEFT JOIN (SELECT src, count(*) AS have FROM s GROUP BY 1) h ON h.src = n.src WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.src = n.src AND s.dst = n.dst)) WHERE r <= 10 - have")
 def j14_padded(spark, sf_dir):
-    t = views.emb(spark, sf_dir)
+    t = views.evt(spark, sf_dir)
     near = pairs.nearest_boxes(t, t, 30)
-    return pairs.padded(near.filter("(src + dst) % 7 = 0").select("src", "dst"), near, 10)
+    p, around = _near(spark, sf_dir)
+    survivors = pairs.cover(pairs.within_eta(around, p, 0.015, 0.02, (0.0, 0.0))).join(near.select("src", "dst"), ["src", "dst"], "left_semi")
+    return pairs.padded(survivors, near, 10)
 
 
 @query(_NEAREST5 + " SELECT src, dst FROM (SELECT a.src, b.traj_id AS dst, row_number() OVER (PARTITION BY a.src ORDER BY (((b.traj_id + a.src) % 2147483648) * 2654435761 + 7) % 4294967296, b.traj_id) AS r FROM (SELECT DISTINCT src FROM n) a JOIN box b ON a.src <> b.traj_id WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.src = a.src AND n.dst = b.traj_id)) WHERE r <= 5")
@@ -296,14 +299,14 @@ def _bound_sql(n: int, whole: bool) -> str:
 @query(_bound_sql(5, True))
 def j16_key_bound(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    p = pairs.eligible(views.beginnings(t, 5, 8), t)
+    p = pairs.eligible(views.coarse(t), t)
     return p.select("query_id", "traj_id", r6(pairs.key_bound(F.col("q_pts"), F.col("d_pts"), 5)).alias("bound"))
 
 
 @query(_bound_sql(3, False))
 def j17_key_bound_batch(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    p = pairs.eligible(views.beginnings(t, 5, 8), t)
+    p = pairs.eligible(views.coarse(t), t)
     return p.select("query_id", "traj_id", r6(pairs.key_bound(F.col("q_pts"), F.col("d_pts"), 3, truncate=False)).alias("bound"))
 
 
@@ -313,20 +316,20 @@ def j18_grid_id(spark, sf_dir):
     return p.select("traj_id", "pos", g.grid_id(F.col("x"), F.col("y"), 0.0, 0.0, 0.05, 22).alias("id"))
 
 
-@query(with_views("evt", "qevt") + " SELECT query_id, i AS key_no, round(x, 6) AS x, round(y, 6) AS y, (ceil(y / 0.05) * 22 + ceil(x / 0.05))::BIGINT AS id FROM qevt JOIN range(10) r(i) ON pos = floor((i + 1) * 30 / 11.0)")
+@query(with_views("evt", "qevt") + " SELECT query_id, i AS key_no, round(x, 6) AS x, round(y, 6) AS y, (ceil(y / 0.05) * 22 + ceil(x / 0.05))::BIGINT AS id FROM qevt JOIN (SELECT query_id, count(*) AS m FROM qevt GROUP BY 1) USING (query_id) JOIN range(10) r(i) ON pos = floor((i + 1) * m / 11.0)")
 def j19_query_cells(spark, sf_dir):
-    q = views.beginnings(views.evt(spark, sf_dir), 8, 30)
+    q = views.queries(views.evt(spark, sf_dir))
     k = q.select("query_id", F.posexplode(pairs.key_points(F.col("q_pts"), 10)).alias("key_no", "p")).select("query_id", "key_no", "p.x", "p.y")
     return k.select("query_id", "key_no", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), g.grid_id(F.col("x"), F.col("y"), 0.0, 0.0, 0.05, 22).alias("id"))
 
 
-_COVER = with_views("evt", "qevt") + ", k AS (SELECT query_id, i, ceil(x / 0.03) AS gx, ceil(y / 0.03) AS gy FROM qevt JOIN range(10) r(i) ON pos = floor((i + 1) * 30 / 11.0)), h AS (SELECT query_id, traj_id, count(DISTINCT i) AS hits FROM k JOIN evt e ON e.pos % 2 = 0 AND abs(ceil(e.x / 0.03) - gx) <= 1 AND abs(ceil(e.y / 0.03) - gy) <= 1 GROUP BY 1, 2)"
+_COVER = with_views("evt", "qevt") + ", k AS (SELECT query_id, i, ceil(x / 0.03) AS gx, ceil(y / 0.03) AS gy FROM qevt JOIN (SELECT query_id, count(*) AS m FROM qevt GROUP BY 1) USING (query_id) JOIN range(10) r(i) ON pos = floor((i + 1) * m / 11.0)), h AS (SELECT query_id, traj_id, count(DISTINCT i) AS hits FROM k JOIN evt e ON e.pos % 2 = 0 AND abs(ceil(e.x / 0.03) - gx) <= 1 AND abs(ceil(e.y / 0.03) - gy) <= 1 GROUP BY 1, 2)"
 
 
 @query(_COVER + " SELECT * FROM h WHERE hits > 10 * 0.2")
 def j20_grid_coverage(spark, sf_dir):
     t = views.evt(spark, sf_dir)
-    return pairs.grid_coverage(views.beginnings(t, 8, 30), clean.points_of(t), 10, 0.2, (0.0, 0.0), 0.03)
+    return pairs.grid_coverage(views.queries(t), clean.points_of(t), 10, 0.2, (0.0, 0.0), 0.03)
 
 
 # --- distances and matches (D, M), top-k (R) ------------------------------------------------------------------------
@@ -352,7 +355,7 @@ _EMB = with_views("emb", "qemb")
 
 def _matched(spark, sf_dir, metric, algorithm="cma", **options):
     t = views.emb(spark, sf_dir)
-    return match.match(pairs.eligible(views.beginnings(t, 5, 8), t), metric, algorithm, **options)
+    return match.match(pairs.eligible(views.coarse(t), t), metric, algorithm, **options)
 
 
 @query(_EMB + _dp(*_SUM, 8, 32, "qemb", "emb", _LEAST))
@@ -380,45 +383,84 @@ def d2_dtw_distance(spark, sf_dir):
     return _matched(spark, sf_dir, "dtw", "whole").select("query_id", "traj_id", r6(F.col("dist")).alias("dist"))
 
 
-_EDR_ROWS = """, qs AS (SELECT query_id, list(x ORDER BY pos) AS qx, list(y ORDER BY pos) AS qy FROM qemb GROUP BY 1),
+def _edits(sub: str, out: str, gq: str = "1", gd: str = "1", top: str = "0") -> str:
+    """SQL that fills a table of edit costs; sub, gq and gd may use qx[i], qy[i], dx[j], dy[j]."""
+    return f""", qs AS (SELECT query_id, list(x ORDER BY pos) AS qx, list(y ORDER BY pos) AS qy FROM qemb GROUP BY 1),
 ds AS (SELECT traj_id, list(x ORDER BY pos) AS dx, list(y ORDER BY pos) AS dy FROM emb GROUP BY 1),
 t AS (
   SELECT query_id, traj_id, -1 AS k, qx, qy, dx, dy, list_transform(range(34), lambda z: 0::DOUBLE) AS w FROM qs, ds WHERE query_id <> traj_id
   UNION ALL
-  SELECT query_id, traj_id, k + 1, qx, qy, dx, dy, list_append(w[2:], CASE WHEN i = 0 THEN {top} WHEN j = 0 THEN i ELSE least(w[1] + c, w[2] + 1, w[-1] + 1) END)
-  FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND sqrt(power(qx[i]-dx[j], 2) + power(qy[i]-dy[j], 2)) <= 0.1 THEN 0 ELSE 1 END AS c FROM (SELECT *, (k + 1) // 33 AS i, (k + 1) % 33 AS j FROM t WHERE k < 296))
-), f AS (SELECT query_id, traj_id, w[2:] AS w FROM t WHERE k = 296) SELECT query_id, traj_id, {out} AS dist FROM f"""
+  SELECT query_id, traj_id, k + 1, qx, qy, dx, dy, list_append(w[2:], CASE WHEN i = 0 THEN {top} WHEN j = 0 THEN w[2] + {gq} ELSE least(w[1] + {sub}, w[2] + {gq}, w[-1] + {gd}) END)
+  FROM (SELECT *, (k + 1) // 33 AS i, (k + 1) % 33 AS j FROM t WHERE k < 296)
+), f AS (SELECT query_id, traj_id, w[2:] AS w FROM t WHERE k = 296) {out}"""
+
 
+_EDR = "CASE WHEN sqrt(power(qx[i]-dx[j], 2) + power(qy[i]-dy[j], 2)) <= 0.1 THEN 0 ELSE 1 END"
+_LEAST_EDIT = "SELECT query_id, traj_id, round(list_min(w[2:]), 6) AS dist FROM f"
 
-@query(_EMB + _EDR_ROWS.format(top="j", out="w[33]"))
+
+@query(_EMB + _edits(_EDR, "SELECT query_id, traj_id, w[33] AS dist FROM f", top="j"))
 def d1_edr_distance(spark, sf_dir):
     return _matched(spark, sf_dir, "edr", "whole", eps=0.1).select("query_id", "traj_id", "dist")
 
 
-@query(_EMB + _EDR_ROWS.format(top="0", out="list_min(w[2:])"))
+@query(_EMB + _edits(_EDR, _LEAST_EDIT))
 def m7_cma_edr(spark, sf_dir):
     return _matched(spark, sf_dir, "edr", eps=0.1).select("query_id", "traj_id", "dist")
 
 
-@query(_EMB + _EDR_ROWS.format(top="0", out="list_min(w[2:])"))
+@query(_EMB + _edits(_EDR, _LEAST_EDIT))
 def m3_exact_edr(spark, sf_dir):
     return _matched(spark, sf_dir, "edr", "exact", eps=0.1).select("query_id", "traj_id", "dist")
 
 
-def _kernel_query(name, metric, algorithm, **options):
+def _kernel_query(name, sql, metric, algorithm, ranges=True, **options):
     def run(spark, sf_dir):
-        return _matched(spark, sf_dir, metric, algorithm, **options).select("query_id", "traj_id", "start", "end", r6(F.col("dist")).alias("dist"))
+        return _matched(spark, sf_dir, metric, algorithm, **options).select("query_id", "traj_id", *["start", "end"] * ranges, r6(F.col("dist")).alias("dist"))
 
     QUERIES[name] = run
-
-
-_kernel_query("m4_exact_lcss", "lcss", "exact", eps=0.1)
-_kernel_query("m7_cma_erp", "erp", "cma", centre=(5.0, 5.0))
-_kernel_query("m7_cma_lcss", "lcss", "cma", eps=0.1)
-_kernel_query("m7_cma_lev", "lev", "cma")
+    if sql:
+        ORACLES[name] = sql
+
+
+def _grown(metric: str, split: bool) -> str:
+    """SQL that grows a part of the data point by point and keeps the best (POS); split: backwards, and at each point
+    the part from the first point to there stands against it (PSS).  w holds the last column and the cell before it."""
+    rows, at = (9, "i") if metric == "edr" else (8, "i + 1")
+    far = f"sqrt(power(qx[{at}]-dx[j+1], 2) + power(qy[{at}]-dy[j+1], 2))"
+    near = f"CASE WHEN {far} <= 0.1 THEN 0 ELSE 1 END"
+    cell = {
+        "dtw": f"CASE WHEN i = 0 THEN CASE WHEN j = st THEN 0 ELSE w[2] END WHEN j = st THEN w[-1] ELSE least(w[1], w[2], w[-1]) END + {far}",
+        "fc": f"greatest(CASE WHEN i = 0 THEN CASE WHEN j = st THEN 0 ELSE w[2] END WHEN j = st THEN w[-1] ELSE least(w[1], w[2], w[-1]) END, {far})",
+        "edr": f"CASE WHEN i = 0 THEN CASE WHEN j = st THEN 0 ELSE w[2] END + 1 ELSE least(CASE WHEN j = st THEN i - 1 ELSE w[1] END + {near}, CASE WHEN j = st THEN i ELSE w[2] END + 1, w[-1] + 1) END",
+    }[metric]
+    if split:
+        first = {"dtw": _dp("least(w[1], w[2], w[-1]) + c", "w[-1] + c", "w[2] + c", 8, 32, "qemb", "emb", ""), "fc": _dp("greatest(least(w[1], w[2], w[-1]), c)", "greatest(w[-1], c)", "greatest(w[2], c)", 8, 32, "qemb", "emb", ""), "edr": _edits(_EDR, "", top="j")}[metric]
+        pre = "w[2:]" if metric == "edr" else "w"
+        lanes = f"(SELECT query_id, traj_id, list_reverse(qx) AS qx, list_reverse(qy) AS qy, list_reverse(dx) AS dx, list_reverse(dy) AS dy, list_reverse({pre}) AS rest FROM f JOIN qs USING (query_id) JOIN ds USING (traj_id))"
+        shown = "(31 - hi)::INT AS start, (31 - lo)::INT AS \"end\""
+    else:
+        first = _dp(*_SUM, 1, 32, "qemb", "emb", "")  # for its lists
+        lanes = "(SELECT query_id, traj_id, qx, qy, dx, dy, NULL::DOUBLE[] AS rest FROM qs, ds WHERE query_id <> traj_id)"
+        shown = "lo::INT AS start, hi::INT AS \"end\""
+    return f"""{_EMB}{first}, g AS (
+  SELECT query_id, traj_id, -1 AS k, 0 AS st, 1e300::DOUBLE AS best, 0 AS lo, 0 AS hi, qx, qy, dx, dy, rest, list_transform(range({rows + 1}), lambda z: 0::DOUBLE) AS w FROM {lanes}
+  UNION ALL
+  SELECT query_id, traj_id, k + 1, CASE WHEN better THEN j + 1 ELSE st END, CASE WHEN better THEN got ELSE best END,
+         CASE WHEN NOT better THEN lo WHEN own THEN st ELSE j END, CASE WHEN NOT better THEN hi WHEN own THEN j ELSE 31 END, qx, qy, dx, dy, rest, list_append(w[2:], v)
+  FROM (SELECT *, i = {rows - 1} AND got < best AS better FROM (SELECT *, least(v, coalesce(rest[j + 1], 1e300)) AS got, v < coalesce(rest[j + 1], 1e300) AS own
+    FROM (SELECT *, ({cell})::DOUBLE AS v FROM (SELECT *, ((k + 1) // {rows})::INT AS j, ((k + 1) % {rows})::INT AS i FROM g WHERE k < {32 * rows - 1}))))
+) SELECT query_id, traj_id, {shown}, round(best, 6) AS dist FROM g WHERE k = {32 * rows - 1}"""
+
+
+_kernel_query("m4_exact_lcss", None, "lcss", "exact", eps=0.1)
+_CENTRE = "sqrt(power({0}x[{1}]-5, 2) + power({0}y[{1}]-5, 2))"
+_kernel_query("m7_cma_erp", _EMB + _edits("sqrt(power(qx[i]-dx[j], 2) + power(qy[i]-dy[j], 2))", _LEAST_EDIT, _CENTRE.format("q", "i"), _CENTRE.format("d", "j")), "erp", "cma", False, centre=(5.0, 5.0))
+_kernel_query("m7_cma_lcss", _EMB + _edits("CASE WHEN abs(qx[i]-dx[j]) < 0.1 AND abs(qy[i]-dy[j]) < 0.1 THEN 0 ELSE 1 END", _LEAST_EDIT), "lcss", "cma", False, eps=0.1)
+_kernel_query("m7_cma_lev", _EMB + _edits("CASE WHEN qx[i] = dx[j] AND qy[i] = dy[j] THEN 0 ELSE 1 END", _LEAST_EDIT), "lev", "cma", False)
 for _m, _o in (("dtw", {}), ("fc", {}), ("edr", {"eps": 0.1})):
-    _kernel_query(f"m8_pss_{_m}", _m, "pss", **_o)
-    _kernel_query(f"m9_pos_{_m}", _m, "pos", **_o)
+    _kernel_query(f"m8_pss_{_m}", _grown(_m, True), _m, "pss", **_o)
+    _kernel_query(f"m9_pos_{_m}", None if _m == "edr" else _grown(_m, False), _m, "pos", **_o)
 
 _RANKED = "SELECT query_id, rank, traj_id, dist FROM (SELECT query_id, traj_id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, traj_id) AS rank FROM (SELECT query_id, traj_id, list_min(w) AS dist FROM f))"
 
@@ -430,40 +472,52 @@ def _top(df):
 @query(_EMB + _dp(*_SUM, 8, 32, "qemb", "emb", _RANKED + " WHERE rank <= 10"))
 def r1_topk_dtw(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    return _top(topk.brute(views.beginnings(t, 5, 8), t, 10))
+    return _top(topk.brute(views.coarse(t), t, 10))
 
 
-@query()
+@query(
+    _EMB + _dp(*_SUM, 8, 32, "qemb", "emb", ", k2 AS (SELECT query_id, i, x, y FROM qemb JOIN range(10) r(i) ON pos = floor((i + 1) * 8 / 11.0))")
+    + ", mb AS (SELECT query_id, i, traj_id, min(sqrt((k2.x-e.x)*(k2.x-e.x)+(k2.y-e.y)*(k2.y-e.y))) AS least_ FROM k2, emb e WHERE e.pos % 2 = 0 AND e.traj_id <> query_id GROUP BY 1, 2, 3)"
+    + ", b AS (SELECT query_id, traj_id, floor(8 * (sum(least_) / 10)) AS bound FROM mb GROUP BY 1, 2), a AS (SELECT query_id, traj_id, list_min(w) AS dist, bound, row_number() OVER (PARTITION BY query_id ORDER BY bound, traj_id) AS r FROM f JOIN b USING (query_id, traj_id))"
+    + " SELECT query_id, rank, traj_id, round(dist, 6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, traj_id) AS rank FROM a JOIN (SELECT query_id, max(dist) AS most, count(*) AS n FROM a WHERE r <= 10 GROUP BY 1) USING (query_id) WHERE r <= 10 OR bound < most OR n < 10) WHERE rank <= 10"
+)
 def r2_topk_pruned(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    return _top(topk.pruned(views.beginnings(t, 5, 8), t, 10))
+    return _top(topk.pruned(views.coarse(t), t, 10))
 
 
 @query()
 def r3_batch_topk(spark, sf_dir):
     t = views.evt(spark, sf_dir)
-    got = topk.batch(views.beginnings(t, 8, 30), t, 5, "dtw", rate=0.2, size=0.03)
+    got = topk.batch(views.queries(t), t, 5, "dtw", rate=0.2, size=0.03)
     return _rounded(got)
 
 
 @query(_EMB + _dp(*_SUM, 8, 32, "qemb", "emb", _RANKED))
 def r4_ground_truth(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    return _top(topk.brute(views.beginnings(t, 5, 8), t, None))
+    return _top(topk.brute(views.coarse(t), t, None))
 
 
 @query()
 def r1_representatives(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    q = views.beginnings(t, 5, 8)
+    q = views.coarse(t)
     got = topk.representatives(topk.brute(q, t, 3, "fc"), q, t)
     return got.select("query_id", "rank", "traj_id", F.size("sub").alias("sub_points"), F.size("full").alias("full_points"), F.size("q_pts").alias("query_points"))
 
 
-@query()
+@query(
+    _EMB + _dp(*_SUM, 8, 32, "qemb", "emb", "") + ", top3 AS (SELECT * FROM (SELECT query_id, traj_id, list_min(w) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY list_min(w), traj_id) AS r FROM f) WHERE r <= 3)"
+    + ", h AS (SELECT query_id, traj_id, dist, s, qx, qy, dx, dy, -1 AS k, list_transform(range(33), lambda z: 1e300::DOUBLE) AS w FROM top3 JOIN qs USING (query_id) JOIN ds USING (traj_id), range(32) r(s)"
+    + " UNION ALL SELECT query_id, traj_id, dist, s, qx, qy, dx, dy, k + 1, list_append(w[2:], CASE WHEN j < s THEN 1e300 WHEN i = 0 AND j = s THEN c WHEN i = 0 THEN w[-1] + c WHEN j = s THEN w[2] + c ELSE least(w[1], w[2], w[-1]) + c END)"
+    + " FROM (SELECT *, sqrt(power(qx[i+1]-dx[j+1], 2) + power(qy[i+1]-dy[j+1], 2)) AS c FROM (SELECT *, (k + 1) // 32 AS i, (k + 1) % 32 AS j FROM h WHERE k < 255)))"
+    + ", n AS (SELECT query_id, traj_id, any_value(dist) AS dist, 1 + sum(len(list_filter(w[2:], lambda z: z < dist)))::BIGINT AS mr FROM h WHERE k = 255 GROUP BY 1, 2)"
+    + " SELECT query_id, traj_id, round(dist, 6) AS ar, mr, round(mr / (32 * 33 / 2), 6) AS rr FROM n"
+)
 def e4_rank_counts(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    q = views.beginnings(t, 5, 8)
+    q = views.coarse(t)
     got = topk.brute(q, t, 3).join(q, "query_id").join(t.select("traj_id", F.col("pts").alias("d_pts")), "traj_id")
     return _rounded(match.rank_counts(got).select("query_id", "traj_id", "ar", "mr", "rr"))
 
@@ -493,14 +547,19 @@ def t3_greedy_score_at_end(spark, sf_dir):
 
 
 def _least_query(name, metric, algorithm):
-    """All ranges of the query set's five short trajectories against all ranges of all others."""
+    """All ranges of the trajectories of the query set against all ranges of all others.
+
+    The least distance over all ranges is that of two points: the nearest for dtw and fc, the first that match for edr."""
 
     def run(spark, sf_dir):
         t = views.emb(spark, sf_dir)
-        p = pairs.eligible(views.beginnings(t, 5, 8), t).withColumnsRenamed({"q_pts": "a_pts", "d_pts": "b_pts"})
+        p = pairs.eligible(views.coarse(t), t).withColumnsRenamed({"q_pts": "a_pts", "d_pts": "b_pts"})
         return _rounded(match.subtraj_pairs(p, metric, algorithm, eps=0.1).drop("a_pts", "b_pts"))
 
     QUERIES[name] = run
+    d = "sqrt(power(q.x-e.x, 2) + power(q.y-e.y, 2))"
+    cost = f"CASE WHEN {d} <= 0.1 THEN 0 ELSE 1 END" if metric == "edr" else d
+    ORACLES[name] = f"{_EMB} SELECT query_id, traj_id, round(p.c, 6)::DOUBLE AS dist, p.i::INT AS s1, p.i::INT AS e1, p.j::INT AS s2, p.j::INT AS e2 FROM (SELECT query_id, traj_id, min({{'c': {cost}, 'i': q.pos, 'j': e.pos}}) AS p FROM qemb q, emb e WHERE query_id <> traj_id GROUP BY 1, 2)"
 
 
 _least_query("t5_least_edr", "edr", "exact")
@@ -535,12 +594,12 @@ def g4_neighbours(spark, sf_dir):
 @query()
 def g7_graph_search(spark, sf_dir):
     t, built = _graph(spark, sf_dir)
-    return _rounded(graph.search(views.beginnings(t, 8, 30), t, built, 10))
+    return _rounded(graph.search(views.queries(t), t, built, 10))
 
 
 def _lists(spark, sf_dir):
     t = views.emb(spark, sf_dir)
-    q = views.beginnings(t, 5, 8)
+    q = views.coarse(t)
     return topk.brute(q, t, 20, "dtw"), topk.brute(q, t, 20, "fc")
 
 
@@ -561,7 +620,7 @@ def e2_recall(spark, sf_dir):
     return _rounded(evaluate.recall_at(pred, truth, 20))
 
 
-@query(_BOTH + " SELECT round((SELECT count(*) FROM tr JOIN pr USING (query_id, traj_id) WHERE tr.rank <= 10 AND pr.rank <= 10) / 50, 6) AS precision")
+@query(_BOTH + " SELECT round((SELECT count(*) FROM tr JOIN pr USING (query_id, traj_id) WHERE tr.rank <= 10 AND pr.rank <= 10) / (10 * (SELECT count(DISTINCT query_id) FROM tr)), 6) AS precision")
 def e3_precision(spark, sf_dir):
     truth, pred = _lists(spark, sf_dir)
     return _rounded(evaluate.precision(pred, truth, 10))

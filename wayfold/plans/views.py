@@ -1,7 +1,8 @@
 """Trajectories over the test tables, and the same views in SQL.
 
 emb: 32 points of each embedding; evt: a user's events in time; lin: a supplier's lines.
-Queries are beginnings of the first trajectories.
+The query set is every trajectory whose id is divisible by 100: as it is, or, where all are of one
+length and none could be longer than a query, the means of every four points in a row.
 """
 
 from __future__ import annotations
@@ -32,16 +33,24 @@ def lin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("traj_id", F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
 
 
-def beginnings(traj: DataFrame, queries: int, points: int) -> DataFrame:
-    return traj.filter(F.col("traj_id") < queries).select(F.col("traj_id").alias("query_id"), F.slice("pts", 1, points).alias("q_pts"))
+def queries(traj: DataFrame) -> DataFrame:
+    """query_id, q_pts: the whole trajectories of the query set."""
+    return traj.filter("traj_id % 100 = 0").select(F.col("traj_id").alias("query_id"), F.col("pts").alias("q_pts"))
+
+
+def coarse(traj: DataFrame) -> DataFrame:
+    """query_id, q_pts: the trajectories of the query set (32 points) as 8 means of four points in a row."""
+    mean = lambda i, axis: (F.get("q_pts", 4 * i)[axis] + F.get("q_pts", 4 * i + 1)[axis] + F.get("q_pts", 4 * i + 2)[axis] + F.get("q_pts", 4 * i + 3)[axis]) / 4
+    pts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(mean(i, "x").alias("x"), mean(i, "y").alias("y")))
+    return queries(traj).select("query_id", pts.alias("q_pts"))
 
 
 #: Common table expressions: points (traj_id, pos, x, y) of each view, and queries (query_id, pos, x, y).
 SQL = {
     "emb": "emb AS (SELECT vec_id AS traj_id, i AS pos, embedding[2*i+1]::DOUBLE AS x, embedding[2*i+2]::DOUBLE AS y FROM embeddings, range(32) r(i))",
-    "qemb": "qemb AS (SELECT traj_id AS query_id, pos, x, y FROM emb WHERE traj_id < 5 AND pos < 8)",
+    "qemb": "qemb AS (SELECT vec_id AS query_id, i AS pos, (embedding[8*i+1]::DOUBLE + embedding[8*i+3]::DOUBLE + embedding[8*i+5]::DOUBLE + embedding[8*i+7]::DOUBLE) / 4 AS x, (embedding[8*i+2]::DOUBLE + embedding[8*i+4]::DOUBLE + embedding[8*i+6]::DOUBLE + embedding[8*i+8]::DOUBLE) / 4 AS y FROM embeddings, range(8) r(i) WHERE vec_id % 100 = 0)",
     "evt": "evt AS (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value / 1000 AS x, CAST(json_extract(props, '$.k') AS DOUBLE) / 1000 AS y FROM events)",
-    "qevt": "qevt AS (SELECT traj_id AS query_id, pos, x, y FROM evt WHERE traj_id < 8 AND pos < 30)",
+    "qevt": "qevt AS (SELECT traj_id AS query_id, pos, x, y FROM evt WHERE traj_id % 100 = 0)",
     "lin": "lin AS (SELECT l_suppkey AS traj_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS pos, l_discount::DOUBLE AS x, l_tax::DOUBLE AS y FROM lineitem)",
 }
 
