@@ -453,7 +453,17 @@ def _grown(metric: str, split: bool) -> str:
 ) SELECT query_id, traj_id, {shown}, round(best, 6) AS dist FROM g WHERE k = {32 * rows - 1}"""
 
 
-_kernel_query("m4_exact_lcss", None, "lcss", "exact", eps=0.1)
+_BANDED = """, qs AS (SELECT query_id, list(x ORDER BY pos) AS qx, list(y ORDER BY pos) AS qy FROM qemb GROUP BY 1),
+ds AS (SELECT traj_id, list(x ORDER BY pos) AS dx, list(y ORDER BY pos) AS dy FROM emb GROUP BY 1),
+t AS (
+  SELECT query_id, traj_id, s, -1 AS k, qx, qy, dx, dy, list_transform(range(34), lambda z: 1e300::DOUBLE) AS w FROM qs, ds, range(32) r(s) WHERE query_id <> traj_id
+  UNION ALL
+  SELECT query_id, traj_id, s, k + 1, qx, qy, dx, dy, list_append(w[2:], CASE WHEN j < s THEN 1e300 WHEN j = s THEN i WHEN i = 0 THEN j - s ELSE least(
+    CASE WHEN abs(i - j + s) < 3 THEN w[1] + CASE WHEN abs(qx[i]-dx[j]) < 0.1 AND abs(qy[i]-dy[j]) < 0.1 THEN 0 ELSE 1 END ELSE 1e300 END, w[2] + 1, w[-1] + 1) END)
+  FROM (SELECT *, (k + 1) // 33 AS i, (k + 1) % 33 AS j FROM t WHERE k < 296)
+), f AS (SELECT query_id, traj_id, s, unnest(range(s + 1, 33)) AS e, unnest(w[s + 3:]) AS dist FROM t WHERE k = 296)
+SELECT query_id, traj_id, p.s::INT AS start, (p.e - 1)::INT AS "end", p.d AS dist FROM (SELECT query_id, traj_id, min({'d': dist, 's': s, 'e': e}) AS p FROM f GROUP BY 1, 2)"""
+_kernel_query("m4_exact_lcss", _EMB + _BANDED, "lcss", "exact", eps=0.1)
 _CENTRE = "sqrt(power({0}x[{1}]-5, 2) + power({0}y[{1}]-5, 2))"
 _kernel_query("m7_cma_erp", _EMB + _edits("sqrt(power(qx[i]-dx[j], 2) + power(qy[i]-dy[j], 2))", _LEAST_EDIT, _CENTRE.format("q", "i"), _CENTRE.format("d", "j")), "erp", "cma", False, centre=(5.0, 5.0))
 _kernel_query("m7_cma_lcss", _EMB + _edits("CASE WHEN abs(qx[i]-dx[j]) < 0.1 AND abs(qy[i]-dy[j]) < 0.1 THEN 0 ELSE 1 END", _LEAST_EDIT), "lcss", "cma", False, eps=0.1)
@@ -469,7 +479,10 @@ def _top(df):
     return df.select("query_id", "rank", "traj_id", r6(F.col("dist")).alias("dist"))
 
 
-@query(_EMB + _dp(*_SUM, 8, 32, "qemb", "emb", _RANKED + " WHERE rank <= 10"))
+_DP_TOP10 = _EMB + _dp(*_SUM, 8, 32, "qemb", "emb", _RANKED + " WHERE rank <= 10")
+
+
+@query(_DP_TOP10)
 def r1_topk_dtw(spark, sf_dir):
     t = views.emb(spark, sf_dir)
     return _top(topk.brute(views.coarse(t), t, 10))
@@ -486,7 +499,29 @@ def r2_topk_pruned(spark, sf_dir):
     return _top(topk.pruned(views.coarse(t), t, 10))
 
 
-@query()
+_BATCH = (
+    _COVER + """, lq AS (SELECT query_id, list(x ORDER BY pos) AS qx, list(y ORDER BY pos) AS qy, count(*) AS m FROM qevt GROUP BY 1),
+ld AS (SELECT traj_id, list(x ORDER BY pos) AS dx, list(y ORDER BY pos) AS dy, count(*) AS n FROM evt GROUP BY 1),
+t AS (
+  SELECT query_id, traj_id, -1 AS k, m, n, qx, qy, dx, dy, list_transform(range(n + 1), lambda z: 1e300::DOUBLE) AS w, list_transform(range(n + 1), lambda z: 0) AS b
+  FROM lq JOIN h USING (query_id) JOIN ld USING (traj_id) WHERE hits > 10 * 0.2 AND query_id <> traj_id AND n > m
+  UNION ALL
+  SELECT query_id, traj_id, k + 1, m, n, qx, qy, dx, dy, list_append(w[2:], best + c), list_append(b[2:], CASE WHEN i = 0 THEN j WHEN j = 0 THEN 0 WHEN w[-1] < least(w[1], w[2]) THEN b[-1] WHEN w[1] <= w[2] THEN b[1] ELSE b[2] END)
+  FROM (SELECT *, CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN w[2] ELSE least(w[1], w[2], w[-1]) END AS best, sqrt(power(qx[i+1]-dx[j+1], 2) + power(qy[i+1]-dy[j+1], 2)) AS c
+    FROM (SELECT *, (k + 1) // n AS i, (k + 1) % n AS j FROM t WHERE k < m * n - 1))
+), f AS (SELECT query_id, traj_id, list_min(w[2:]) AS dist, list_position(w[2:], list_min(w[2:])) AS e, b[2:] AS b FROM t WHERE k = m * n - 1),
+top5 AS (SELECT * FROM (SELECT query_id, traj_id, b[e] AS s, e - 1 AS e, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, traj_id) AS rank FROM f) WHERE rank <= 5),
+u AS (
+  SELECT query_id, traj_id, s0, -1 AS k, m, n, qx, qy, dx, dy, list_transform(range(n + 1), lambda z: 1e300::DOUBLE) AS w FROM (SELECT *, unnest(range(n)) AS s0 FROM top5 JOIN lq USING (query_id) JOIN ld USING (traj_id))
+  UNION ALL
+  SELECT query_id, traj_id, s0, k + 1, m, n, qx, qy, dx, dy, list_append(w[2:], CASE WHEN j < s0 THEN 1e300 WHEN i = 0 AND j = s0 THEN c WHEN i = 0 THEN w[-1] + c WHEN j = s0 THEN w[2] + c ELSE least(w[1], w[2], w[-1]) + c END)
+  FROM (SELECT *, sqrt(power(qx[i+1]-dx[j+1], 2) + power(qy[i+1]-dy[j+1], 2)) AS c FROM (SELECT *, (k + 1) // n AS i, (k + 1) % n AS j FROM u WHERE k < m * n - 1))
+), mr AS (SELECT u.query_id, u.traj_id, any_value(u.n) AS n, 1 + sum(len(list_filter(u.w[2:], lambda z: z < r.dist)))::BIGINT AS mr FROM u JOIN top5 r ON r.query_id = u.query_id AND r.traj_id = u.traj_id WHERE u.k = u.m * u.n - 1 GROUP BY 1, 2)
+SELECT r.query_id, r.rank, r.traj_id, r.s::INT AS start, r.e::INT AS "end", round(r.dist, 6) AS dist, round(r.dist, 6) AS ar, mr, round(mr / (n * (n + 1) / 2), 6) AS rr FROM top5 r JOIN mr ON mr.query_id = r.query_id AND mr.traj_id = r.traj_id"""
+)
+
+
+@query(_BATCH)
 def r3_batch_topk(spark, sf_dir):
     t = views.evt(spark, sf_dir)
     got = topk.batch(views.queries(t), t, 5, "dtw", rate=0.2, size=0.03)

@@ -65,7 +65,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def write_polylines(traj: DataFrame, path: str) -> None:
     """A count line and a line `x y` with five digits for each point, trajectory by trajectory."""
     line = F.concat_ws("\n", F.size("pts").cast("string"), F.array_join(F.transform("pts", lambda p: F.format_string("%.5f %.5f", p["x"], p["y"])), "\n"))
-    traj.orderBy("traj_id").select(line.alias("value")).write.mode("overwrite").text(path)
+    traj.orderBy("traj_id").select(line.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_driver_csv(spark: SparkSession, path: str, bound: int | None = None) -> DataFrame:
@@ -200,15 +200,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def read_truth(spark: SparkSession, path: str, k: int) -> DataFrame:
     """A line of ids for each query, best first: query_id (by line), rank from 1, traj_id."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("query_id", "line"))
+    text = spark.read.text(path, wholetext=True).filter("value <> ''").select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("query_id", "line"))
     ids = F.slice(F.split(F.trim("line"), " +"), 1, k)
-    return text.select(F.col("query_id").cast("long"), F.posexplode(ids).alias("r", "id")).select("query_id", (F.col("r") + 1).alias("rank"), F.col("id").cast("long").alias("traj_id"))
+    return text.select(F.col("query_id").cast("long"), F.posexplode(ids).alias("r", "id")).filter("id <> ''").select("query_id", (F.col("r") + 1).alias("rank"), F.col("id").cast("long").alias("traj_id"))
 
 
 def write_truth(truth: DataFrame, path: str) -> None:
     """Lines of ids in rank order, one for each query."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "traj_id"))), lambda r: r["traj_id"].cast("string"))
-    truth.groupBy("query_id").agg(F.array_join(ids, " ").alias("value")).orderBy("query_id").select("value").write.mode("overwrite").text(path)
+    truth.groupBy("query_id").agg(F.array_join(ids, " ").alias("value")).orderBy("query_id").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_topk(top: DataFrame, path: str) -> None:
