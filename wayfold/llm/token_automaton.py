@@ -211,12 +211,12 @@ class TokenAutomaton:
         return self.__dict__ | {"_tables": None}
 
     def _plain(self):
-        """The tables as Python's own objects, for single look-ups; made once in each worker."""
+        """The tables in forms for single look-ups; made once in each worker."""
         if self._tables is None:
             used = np.flatnonzero(self.keys != -1)
             steps = dict(zip(self.keys[used].tolist(), self.vals[used].tolist(), strict=True))
             arcs = memoryview(np.ascontiguousarray(self.bits)).cast("B")
-            self._tables = steps, self.ends.tolist(), (self.row.astype(np.int64) * self.bits.shape[1]).tolist(), self.target.tolist(), arcs
+            self._tables = steps, memoryview(self.ends), memoryview(self.row.astype(np.int64) * self.bits.shape[1]), memoryview(self.target), arcs
         return self._tables
 
     def walk(self, word: bytes) -> list[int]:
