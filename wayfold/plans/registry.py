@@ -463,6 +463,15 @@ t AS (
   FROM (SELECT *, (k + 1) // 33 AS i, (k + 1) % 33 AS j FROM t WHERE k < 296)
 ), f AS (SELECT query_id, traj_id, s, unnest(range(s + 1, 33)) AS e, unnest(w[s + 3:]) AS dist FROM t WHERE k = 296)
 SELECT query_id, traj_id, p.s::INT AS start, (p.e - 1)::INT AS "end", p.d AS dist FROM (SELECT query_id, traj_id, min({'d': dist, 's': s, 'e': e}) AS p FROM f GROUP BY 1, 2)"""
+_DELAYED = _dp(*_SUM, 1, 32, "qemb", "emb", "") + """, g AS (
+  SELECT query_id, traj_id, 0 AS j, 0 AS i, 0 AS st, 1e300::DOUBLE AS best, 0 AS lo, 0 AS hi, 0 AS waited, qx, qy, dx, dy, list_transform(range(10), lambda z: 0::DOUBLE) AS w FROM qs, ds WHERE query_id <> traj_id
+  UNION ALL
+  SELECT query_id, traj_id, CASE WHEN i < 8 THEN j WHEN again THEN hi + 1 ELSE j + 1 END, (i + 1) % 9, CASE WHEN again THEN hi + 1 ELSE st END, CASE WHEN better THEN v ELSE best END,
+         CASE WHEN better THEN st ELSE lo END, CASE WHEN better THEN j ELSE hi END, CASE WHEN i < 8 THEN waited WHEN better OR again THEN 0 ELSE waited + 1 END, qx, qy, dx, dy, list_append(w[2:], v)
+  FROM (SELECT *, i = 8 AND NOT better AND waited + 1 > 10 AND lo = st AS again FROM (SELECT *, i = 8 AND v < best AS better
+    FROM (SELECT *, (CASE WHEN i = 0 THEN CASE WHEN j = st THEN 0 ELSE w[2] END + 1 ELSE least(CASE WHEN j = st THEN i - 1 ELSE w[1] END + near, CASE WHEN j = st THEN i ELSE w[2] END + 1, w[-1] + 1) END)::DOUBLE AS v
+      FROM (SELECT *, CASE WHEN sqrt(power(qx[i]-dx[j+1], 2) + power(qy[i]-dy[j+1], 2)) <= 0.1 THEN 0 ELSE 1 END AS near FROM g WHERE j < 32))))
+) SELECT query_id, traj_id, lo::INT AS start, hi::INT AS "end", best AS dist FROM g WHERE j >= 32"""
 _kernel_query("m4_exact_lcss", _EMB + _BANDED, "lcss", "exact", eps=0.1)
 _CENTRE = "sqrt(power({0}x[{1}]-5, 2) + power({0}y[{1}]-5, 2))"
 _kernel_query("m7_cma_erp", _EMB + _edits("sqrt(power(qx[i]-dx[j], 2) + power(qy[i]-dy[j], 2))", _LEAST_EDIT, _CENTRE.format("q", "i"), _CENTRE.format("d", "j")), "erp", "cma", False, centre=(5.0, 5.0))
@@ -470,7 +479,7 @@ _kernel_query("m7_cma_lcss", _EMB + _edits("CASE WHEN abs(qx[i]-dx[j]) < 0.1 AND
 _kernel_query("m7_cma_lev", _EMB + _edits("CASE WHEN qx[i] = dx[j] AND qy[i] = dy[j] THEN 0 ELSE 1 END", _LEAST_EDIT), "lev", "cma", False)
 for _m, _o in (("dtw", {}), ("fc", {}), ("edr", {"eps": 0.1})):
     _kernel_query(f"m8_pss_{_m}", _grown(_m, True), _m, "pss", **_o)
-    _kernel_query(f"m9_pos_{_m}", None if _m == "edr" else _grown(_m, False), _m, "pos", **_o)
+    _kernel_query(f"m9_pos_{_m}", _EMB + _DELAYED if _m == "edr" else _grown(_m, False), _m, "pos", **_o)
 
 _RANKED = "SELECT query_id, rank, traj_id, dist FROM (SELECT query_id, traj_id, round(dist, 6) AS dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, traj_id) AS rank FROM (SELECT query_id, traj_id, list_min(w) AS dist FROM f))"
 
@@ -534,7 +543,18 @@ def r4_ground_truth(spark, sf_dir):
     return _top(topk.brute(views.coarse(t), t, None))
 
 
-@query()
+@query(
+    _EMB + """, qs AS (SELECT query_id, list(x ORDER BY pos) AS qx, list(y ORDER BY pos) AS qy FROM qemb GROUP BY 1),
+ds AS (SELECT traj_id, list(x ORDER BY pos) AS dx, list(y ORDER BY pos) AS dy FROM emb GROUP BY 1),
+t AS (
+  SELECT query_id, traj_id, -1 AS k, qx, qy, dx, dy, list_transform(range(33), lambda z: 1e300::DOUBLE) AS w, list_transform(range(33), lambda z: 0) AS b FROM qs, ds WHERE query_id <> traj_id
+  UNION ALL
+  SELECT query_id, traj_id, k + 1, qx, qy, dx, dy, list_append(w[2:], greatest(best, c)), list_append(b[2:], CASE WHEN i = 0 THEN j WHEN j = 0 THEN 0 WHEN w[-1] < least(w[1], w[2]) THEN b[-1] WHEN w[1] <= w[2] THEN b[1] ELSE b[2] END)
+  FROM (SELECT *, CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN w[2] ELSE least(w[1], w[2], w[-1]) END AS best, sqrt(power(qx[i+1]-dx[j+1], 2) + power(qy[i+1]-dy[j+1], 2)) AS c
+    FROM (SELECT *, (k + 1) // 32 AS i, (k + 1) % 32 AS j FROM t WHERE k < 255))
+), f AS (SELECT query_id, traj_id, list_min(w[2:]) AS dist, list_position(w[2:], list_min(w[2:])) AS e, b[2:] AS b FROM t WHERE k = 255)
+SELECT query_id, rank, traj_id, (e - b[e])::INT AS sub_points, 32 AS full_points, 8 AS query_points FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, traj_id) AS rank FROM f) WHERE rank <= 3"""
+)
 def r1_representatives(spark, sf_dir):
     t = views.emb(spark, sf_dir)
     q = views.coarse(t)
@@ -571,12 +591,34 @@ def _data_pairs(spark, sf_dir):
     return all_pairs(t.select(F.col("traj_id").alias("a"), F.col("pts").alias("a_pts")), t.select(F.col("traj_id").alias("b"), F.col("pts").alias("b_pts")), F.col("a") < F.col("b"))
 
 
-@query()
+#: The greedy walk for the pairs (a, b) of pr, one row for each step of each walk; where no points match, 0 and -1.
+_WALK = """,
+ls AS (SELECT traj_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, count(*) AS n FROM evt GROUP BY 1),
+hit AS (SELECT pr.a, pr.b, p.pos::INT AS i, q.pos::INT AS j FROM pr JOIN evt p ON p.traj_id = pr.a JOIN evt q ON q.traj_id = pr.b WHERE sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) <= 0.02),
+wk AS (
+  SELECT a, b, i AS si, j AS sj, 0 AS step, i, j, 2 AS total FROM {starts}
+  UNION ALL
+  SELECT a, b, si, sj, step + 1, i + CASE WHEN here AND dg THEN 1 WHEN here THEN CASE WHEN NOT rt AND dn THEN 1 ELSE 0 END WHEN rt THEN 0 WHEN dn OR dg THEN 1 ELSE 0 END,
+         j + CASE WHEN here AND dg THEN 1 WHEN here THEN CASE WHEN NOT rt AND dn THEN 0 ELSE 1 END WHEN rt THEN 1 WHEN dn THEN 0 ELSE 1 END,
+         total + CASE WHEN here THEN CASE WHEN dg THEN 2 ELSE -1 END WHEN rt OR dn THEN 3 WHEN dg THEN 2 ELSE -1 END
+  FROM (SELECT w.*, sqrt(power(p.xs[i+1]-q.xs[j+1], 2)+power(p.ys[i+1]-q.ys[j+1], 2)) <= 0.02 AS here, sqrt(power(p.xs[i+2]-q.xs[j+2], 2)+power(p.ys[i+2]-q.ys[j+2], 2)) <= 0.02 AS dg,
+      sqrt(power(p.xs[i+1]-q.xs[j+2], 2)+power(p.ys[i+1]-q.ys[j+2], 2)) <= 0.02 AS rt, sqrt(power(p.xs[i+2]-q.xs[j+1], 2)+power(p.ys[i+2]-q.ys[j+1], 2)) <= 0.02 AS dn
+    FROM wk w JOIN ls p ON p.traj_id = w.a JOIN ls q ON q.traj_id = w.b WHERE total > 0 AND i < p.n - 1 AND j < q.n - 1)
+), bs AS (SELECT a, b, max({{'t': total, 'i': -si, 'j': -sj, 'k': -step, 'e': i, 'f': j}}) AS m FROM {ends} GROUP BY 1, 2),
+sc AS (SELECT pr.a, pr.b, coalesce(-m.t, 0)::DOUBLE AS dist, coalesce(-m.i, -1)::INT AS s1, coalesce(m.e, -1)::INT AS e1, coalesce(-m.j, -1)::INT AS s2, coalesce(m.f, -1)::INT AS e2 FROM pr LEFT JOIN bs ON bs.a = pr.a AND bs.b = pr.b)"""
+_BEST = _WALK.format(starts="hit", ends="wk")
+_DATA_PAIRS = ", pr AS (SELECT x.traj_id AS a, y.traj_id AS b FROM (SELECT DISTINCT traj_id FROM evt) x JOIN (SELECT DISTINCT traj_id FROM evt) y ON x.traj_id < y.traj_id)"
+
+
+@query(with_views("evt") + _DATA_PAIRS + _BEST + " SELECT * FROM sc")
 def t1_greedy_score(spark, sf_dir):
     return match.greedy_score(_data_pairs(spark, sf_dir), 0.02).drop("a_pts", "b_pts")
 
 
-@query()
+_AT_END = _WALK.format(starts="(SELECT pr.a, pr.b, p.pos::INT AS i, q.pos::INT AS j FROM (SELECT DISTINCT a, b FROM hit) pr JOIN evt p ON p.traj_id = pr.a JOIN evt q ON q.traj_id = pr.b)", ends="(SELECT a, b, si, sj, max(step) AS step, arg_max(i, step) AS i, arg_max(j, step) AS j, arg_max(total, step) AS total FROM wk GROUP BY 1, 2, 3, 4)")
+
+
+@query(with_views("evt") + _DATA_PAIRS + _AT_END + " SELECT * FROM sc")
 def t3_greedy_score_at_end(spark, sf_dir):
     return match.greedy_score(_data_pairs(spark, sf_dir), 0.02, "last").drop("a_pts", "b_pts")
 
@@ -610,17 +652,26 @@ def _graph(spark, sf_dir):
     return t, graph.build_index(t, path, k=20, n_near=60, origin=(0.0, 0.0), size=0.02, eta=0.02, eps=0.02, cells=4)
 
 
-@query()
+_NEAREST60 = _SURVIVORS.replace("WHERE r <= 30)", "WHERE r <= 60)").replace("<= 0.015 GROUP BY", "<= 0.02 GROUP BY")
+_LINKS = _NEAREST60 + ", pr AS (SELECT src AS a, dst AS b FROM s UNION ALL SELECT src, dst FROM (SELECT n.src, n.dst, row_number() OVER (PARTITION BY n.src ORDER BY ((n.dst % 2147483648) * 2654435761 + 7) % 4294967296, n.dst) AS r, coalesce(h.have, 0) AS have FROM n LEFT JOIN (SELECT src, count(*) AS have FROM s GROUP BY 1) h ON h.src = n.src WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.src = n.src AND s.dst = n.dst)) WHERE r <= 20 - have)"
+_BOTTOM = _LINKS + _BEST + ", edge AS (SELECT * FROM (SELECT a AS src, (row_number() OVER (PARTITION BY a ORDER BY dist, b, s2, e2) - 1)::INT AS rank, b AS dst, dist, s2 AS s, e2 AS e FROM sc) WHERE rank < 20)"
+
+
+@query(_BOTTOM + " SELECT * FROM edge")
 def g1_bottom_graph(spark, sf_dir):
     return _graph(spark, sf_dir)[1][0]
 
 
-@query()
+_REPRESENTATIVES = _BOX.replace("emb", "evt") + ", ex AS (SELECT min(x0) ox, min(y0) oy, (max(x1)-min(x0))/4 sx, (max(y1)-min(y0))/4 sy FROM box), ff AS (SELECT gx, gy, traj_id, greatest(1.0, ceil(greatest((x1-cx)/hx, (cx-x0)/hx, (y1-cy)/hy, (cy-y0)/hy) * 10) / 10) AS f FROM (SELECT i % 4 AS gx, i // 4 AS gy, ox + (i % 4 + 0.5) * sx AS cx, oy + (i // 4 + 0.5) * sy AS cy, sx / 2 AS hx, sy / 2 AS hy FROM ex, range(16) r(i)), box), nd AS (SELECT DISTINCT traj_id FROM ff JOIN (SELECT gx, gy, min(f) AS f FROM ff GROUP BY 1, 2) m USING (gx, gy, f))"
+_TOP = with_views("evt") + _REPRESENTATIVES + ", pr AS (SELECT x.traj_id AS a, y.traj_id AS b FROM nd x JOIN nd y ON x.traj_id < y.traj_id)" + _BEST + ", bo AS (SELECT a, b, dist, s2, e2 FROM sc UNION ALL SELECT b, a, dist, s1, e1 FROM sc)"
+
+
+@query(_TOP + " SELECT a AS src, r::INT AS rank, b AS dst, dist, s2 AS s, e2 AS e FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) - 1 AS r, count(*) OVER (PARTITION BY a) AS n FROM bo) WHERE r < floor(n * 0.8)")
 def g2_top_graph(spark, sf_dir):
     return _graph(spark, sf_dir)[1][2]
 
 
-@query()
+@query(_BOTTOM + " SELECT src, rank, dst FROM edge WHERE rank < 5")
 def g4_neighbours(spark, sf_dir):
     edge = _graph(spark, sf_dir)[1][0]
     return graph.neighbours(edge, edge.select("src").distinct(), 5).select("src", "rank", "dst")
