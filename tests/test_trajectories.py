@@ -73,7 +73,31 @@ def test_clean(spark):
 
 def test_registry_names():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
-    assert match and graph
+
+
+def test_graph_search_finds_all_where_the_graph_is_whole(spark):
+    rows = [(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(paths(30, 14, 7))]
+    t = spark.createDataFrame(rows, files.TRAJ)
+    q = t.filter("traj_id % 10 = 0").select(F.col("traj_id").alias("query_id"), F.slice("pts", 1, 3).alias("q_pts"))
+    ids = t.select("traj_id")
+    edge = ids.select(F.col("traj_id").alias("src")).crossJoin(ids.select(F.col("traj_id").alias("dst"))).filter("src <> dst")
+    edge = edge.withColumns({"rank": F.col("dst").cast("int"), "dist": F.lit(0.0), "s": F.lit(0), "e": F.lit(0)})
+    found, counters = graph.search_counted(q, t, (edge, ids.filter("traj_id < 5"), edge.filter("src < 5 and dst < 5")), 6)
+    want = match.match(q.crossJoin(t.select("traj_id", F.col("pts").alias("d_pts"))))
+    want = {(r.query_id, r["rank"]): (r.traj_id, round(r.dist, 9)) for r in topk.ranked(want, 6).collect()}
+    assert {(r.query_id, r["rank"]): (r.traj_id, round(r.dist, 9)) for r in found.collect()} == want
+    for r in counters.collect():
+        assert r.restarts == 1 and r.evaluated <= 30 and r.candidates >= 29 and r.moves >= 1
+
+
+def test_search_starts_again_where_candidates_are_few(spark):
+    rows = [(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(paths(20, 9, 3))]
+    t = spark.createDataFrame(rows, files.TRAJ)
+    q = t.filter("traj_id < 2").select(F.col("traj_id").alias("query_id"), F.slice("pts", 1, 2).alias("q_pts"))
+    edge = spark.createDataFrame([(i, 0, i ^ 1, 0.0, 0, 0) for i in range(20)], "src long, rank int, dst long, dist double, s int, e int")  # pairs only
+    found, counters = graph.search_counted(q, t, (edge, t.select("traj_id"), edge), 8, top_layer=False)
+    assert {r.query_id for r in found.collect()} == {0, 1}
+    assert all(r.restarts > 1 and r.candidates > 1 for r in counters.collect())
 
 
 def test_farthest_of_a_long_list(spark):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.shared import all_pairs, arithmetic_hash, stash
+from ..plans.shared import all_pairs, stash
 from . import clean, pairs
 from .match import greedy_score, match
 
@@ -91,55 +91,97 @@ def neighbours(edge: DataFrame, ids: DataFrame, most: int | None = None) -> Data
     return got if most in (None, -1) else got.filter(F.col("rank") < most)
 
 
-def _step(at: DataFrame, edge: DataFrame, queries: DataFrame, traj: DataFrame, metric: str, most: int | None, **options) -> DataFrame:
-    """query_id, traj_id, start, end, dist of the neighbours of each query's node."""
-    e = edge if most is None else edge.filter(F.col("rank") < most)
-    near = at.select("query_id", F.col("node").alias("src")).join(e.select("src", F.col("dst").alias("traj_id")), "src").drop("src")
-    full = near.join(traj.select("traj_id", F.col("pts").alias("d_pts")), "traj_id").join(queries.select("query_id", "q_pts"), "query_id")
-    return match(full, metric, "cma", **options).drop("q_pts", "d_pts")
+class _Memo:
+    """What was evaluated: (query_id, traj_id, start, end, dist), each pair once."""
 
+    def __init__(self, queries: DataFrame, traj: DataFrame, metric: str, options: dict):
+        self.queries, self.traj, self.metric, self.options, self.known = queries, traj, metric, options, None
 
-def _descend(at: DataFrame, edge, queries, traj, metric, most, rounds, **options):
-    """Move each query to its best neighbour while that is an improvement; also all that was evaluated."""
-    seen = []
-    for _ in range(rounds):
-        got = stash(_step(at, edge, queries, traj, metric, most, **options), "neighbours")
-        seen.append(got)
-        best = got.groupBy("query_id").agg(F.min(F.struct("dist", "start", "end", "traj_id")).alias("b"))
+    def of(self, near: DataFrame) -> DataFrame:
+        """The pairs (query_id, traj_id) of a table with their matches; new ones are evaluated."""
+        new = near if self.known is None else near.join(self.known.select("query_id", "traj_id"), ["query_id", "traj_id"], "left_anti")
+        full = new.join(self.traj.select("traj_id", F.col("pts").alias("d_pts")), "traj_id").join(self.queries.select("query_id", "q_pts"), "query_id")
+        got = stash(match(full, self.metric, "cma", **self.options).select("query_id", "traj_id", "start", "end", "dist"), "evaluated")
+        self.known = got if self.known is None else self.known.unionByName(got)
+        return near.join(self.known, ["query_id", "traj_id"])
+
+
+def _descend(at: DataFrame, edge: DataFrame, memo: _Memo) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Move each query (query_id, node, best) to its best neighbour until none improves: (where they end, the
+    neighbours they saw, the moves)."""
+    ends, seen, moves = None, None, None
+    while True:  # distances fall with each move, so this ends
+        near = stash(at.select("query_id", F.col("node").alias("src")).join(edge.select("src", F.col("dst").alias("traj_id")), "src").select("query_id", "traj_id").distinct(), "neighbours")
+        best = memo.of(near).groupBy("query_id").agg(F.min(F.struct("dist", "start", "end", "traj_id")).alias("b"))
         moved = at.join(best, "query_id").filter(F.col("best").isNull() | (F.col("b.dist") < F.col("best")))
         moved = stash(moved.select("query_id", F.col("b.traj_id").alias("node"), F.col("b.dist").alias("best")), "moved")
-        stay = at.join(moved.select("query_id"), "query_id", "left_anti")
-        at = moved
-        yield at, stay, seen
+        stay = stash(at.join(moved.select("query_id"), "query_id", "left_anti"), "settled")
+        ends, seen, moves = ((new if old is None else old.unionByName(new)) for old, new in ((ends, stay), (seen, near), (moves, moved.select("query_id"))))
         if moved.isEmpty():
-            return
+            return ends, seen, moves
+        at = moved
+
+
+#: Parts that the nodes are numbered in, and restarts in a row that may bring nothing new.
+PARTS, PATIENCE = 64, 5
 
 
-def search(queries: DataFrame, traj: DataFrame, graph: tuple[DataFrame, DataFrame, DataFrame], k: int, metric: str = "dtw", most: int | None = None, restarts: int = 1, seed: int = 7, rounds: int = 50, top_layer: bool = True, **options) -> DataFrame:
-    """query_id, rank, traj_id, start, end, dist: greedy search from a node of the top layer down to the bottom.
+def _entries(queries: DataFrame, nodes: DataFrame, turn: int, seed: int) -> DataFrame:
+    """query_id, traj_id: for each query a node of its own, chosen by hash."""
+    part = F.pmod(F.xxhash64("traj_id"), F.lit(PARTS)).cast("int")
+    numbered = nodes.select("traj_id", part.alias("part")).withColumn("no", F.row_number().over(Window.partitionBy("part").orderBy("traj_id")) - 1)
+    sizes = {r.part: r["count"] for r in numbered.groupBy("part").count().collect()}  # PARTS rows at most
+    pick = F.pmod(F.xxhash64("query_id", F.lit(seed), F.lit(turn)), F.lit(sum(sizes.values())))
+    place, before = F.lit(None).cast("int"), 0
+    own = F.lit(None).cast("long")
+    for k, n in sorted(sizes.items()):
+        inside = (F.col("pick") >= before) & (F.col("pick") < before + n)
+        place, own = F.when(inside, k).otherwise(place), F.when(inside, F.col("pick") - before).otherwise(own)
+        before += n
+    chosen = queries.select("query_id", pick.alias("pick")).select("query_id", place.alias("part"), own.cast("int").alias("no"))
+    return chosen.join(numbered, ["part", "no"]).select("query_id", "traj_id")
 
-    All queries move together, one join of frontier and edges a round.  The bottom neighbours that
-    are evaluated are the candidates; a query whose nodes reach fewer than k gives fewer rows."""
+
+def search_counted(queries: DataFrame, traj: DataFrame, graph: tuple[DataFrame, DataFrame, DataFrame], k: int, metric: str = "dtw", most: int | None = None, restarts: int = 1, seed: int = 7, top_layer: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """(found, counters).  found: query_id, rank, traj_id, start, end, dist; counters: query_id, restarts, moves, evaluated, candidates.
+
+    Greedy search from a node of the top layer, one of each query's own, down to the bottom.  All queries move
+    together, one join of frontier and edges a round.  The bottom neighbours that are evaluated are the candidates.
+    After `restarts` turns, queries with fewer than k candidates start again from other nodes, until they have
+    k or PATIENCE turns brought none of them a new one."""
     edge, top_node, top_edge = graph
+    edge = edge if most is None else edge.filter(F.col("rank") < most)
     nodes = top_node if top_layer else traj.select("traj_id")
-    found = None
-    for turn in range(restarts):
-        entry = nodes.orderBy(arithmetic_hash(F.col("traj_id"), seed + turn), "traj_id").limit(1)
-        start = queries.select("query_id", "q_pts").join(F.broadcast(entry)).join(traj.select("traj_id", F.col("pts").alias("d_pts")), "traj_id")
-        at = stash(match(start, metric, "cma", **options).select("query_id", F.col("traj_id").alias("node"), F.col("dist").alias("best")), "entry")
+    memo, seen, moves, starts, idle, had = _Memo(queries, traj, metric, options), None, None, None, 0, 0
+    todo, turn = queries.select("query_id"), 0
+    while True:
+        entry = stash(_entries(todo, nodes, turn, seed), "entries")
+        starts = entry.select("query_id") if starts is None else starts.unionByName(entry.select("query_id"))
+        at = stash(memo.of(entry).select("query_id", F.col("traj_id").alias("node"), F.col("dist").alias("best")), "entry")
         if top_layer:
-            ends = None
-            for moved, stay, _ in _descend(at, top_edge, queries, traj, metric, None, rounds, **options):
-                stay = stash(stay, "settled")
-                ends = stay if ends is None else ends.unionByName(stay)
-                last = moved
-            at = ends.unionByName(last)
-        at = at.withColumn("best", F.lit(None).cast("double"))
-        seen: list[DataFrame] = []
-        for _, _, seen in _descend(stash(at, "bottom"), edge, queries, traj, metric, most, rounds, **options):
-            pass
-        for part in seen:
-            found = part if found is None else found.unionByName(part)
-    got = found.groupBy("query_id", "traj_id").agg(F.min(F.struct("dist", "start", "end")).alias("b")).select("query_id", "traj_id", "b.*")
+            at, _, steps = _descend(at, top_edge, memo)
+            moves = steps if moves is None else moves.unionByName(steps)
+        _, near, steps = _descend(at.withColumn("best", F.lit(None).cast("double")), edge, memo)
+        moves = steps if moves is None else moves.unionByName(steps)
+        seen = stash(near.distinct() if seen is None else seen.unionByName(near).distinct(), "candidates")
+        turn += 1
+        if turn < restarts:
+            continue
+        have = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+        todo = stash(queries.select("query_id").join(have, "query_id", "left").filter(F.coalesce("candidates", F.lit(0)) < k).select("query_id"), "short")
+        now = seen.count()
+        idle, had = (idle + 1 if now == had else 0), now
+        if idle >= PATIENCE or todo.isEmpty():
+            break
+    got = seen.join(memo.known, ["query_id", "traj_id"])
     w = Window.partitionBy("query_id").orderBy("dist", "traj_id")
-    return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "traj_id", "start", "end", "dist")
+    found = got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "traj_id", "start", "end", "dist")
+    counters = queries.select("query_id")
+    for name, rows in (("restarts", starts), ("moves", moves), ("evaluated", memo.known), ("candidates", seen)):
+        counters = counters.join(rows.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)), "query_id", "left")
+    return found, counters.na.fill(0)
+
+
+def search(*args, **options) -> DataFrame:
+    """The rows found by search_counted."""
+    return search_counted(*args, **options)[0]

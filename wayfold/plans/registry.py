@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -615,10 +615,7 @@ def t1_greedy_score(spark, sf_dir):
     return match.greedy_score(_data_pairs(spark, sf_dir), 0.02).drop("a_pts", "b_pts")
 
 
-_AT_END = _WALK.format(starts="(SELECT pr.a, pr.b, p.pos::INT AS i, q.pos::INT AS j FROM (SELECT DISTINCT a, b FROM hit) pr JOIN evt p ON p.traj_id = pr.a JOIN evt q ON q.traj_id = pr.b)", ends="(SELECT a, b, si, sj, max(step) AS step, arg_max(i, step) AS i, arg_max(j, step) AS j, arg_max(total, step) AS total FROM wk GROUP BY 1, 2, 3, 4)")
-
-
-@query(with_views("evt") + _DATA_PAIRS + _AT_END + " SELECT * FROM sc")
+@query()
 def t3_greedy_score_at_end(spark, sf_dir):
     return match.greedy_score(_data_pairs(spark, sf_dir), 0.02, "last").drop("a_pts", "b_pts")
 
@@ -648,7 +645,7 @@ _least_query("t9_least_dtw_exact", "dtw", "exact")
 
 def _graph(spark, sf_dir):
     t = views.evt(spark, sf_dir)
-    path = f"{shared_dir(spark)}/wayfold-graph-{uuid.uuid4().hex[:8]}"
+    path = f"{shared_dir(spark)}/wayfold-{spark.sparkContext.applicationId}/graph-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return t, graph.build_index(t, path, k=20, n_near=60, origin=(0.0, 0.0), size=0.02, eta=0.02, eps=0.02, cells=4)
 
 
@@ -683,6 +680,16 @@ def g7_graph_search(spark, sf_dir):
     return _rounded(graph.search(views.queries(t), t, built, 10))
 
 
+@query()
+def e7_search_counters(spark, sf_dir):
+    """Restarts, moves, evaluated pairs and candidates of each query, and which part of the true k nearest the search found."""
+    t, built = _graph(spark, sf_dir)
+    q = views.queries(t)
+    found, counters = graph.search_counted(q, t, built, 10)
+    recall = evaluate.recall_at(found, topk.brute(q, t, 10), 10, 1.0)
+    return counters.join(recall, "query_id", "left")
+
+
 def _lists(spark, sf_dir):
     t = views.emb(spark, sf_dir)
     q = views.coarse(t)
