@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import clean, dtsm, graph, kernels, match, naive, topk
+from wayfold.operators import clean, dtsm, experiments, graph, kernels, match, naive, topk
 from wayfold.plans import registry
 from wayfold.sources import files
 
@@ -71,6 +71,14 @@ def test_clean(spark):
     assert t.select(F.size(clean.without_stops(F.col("pts")))).first()[0] == 2
 
 
+def test_report_as_text(spark, tmp_path):
+    rows = [(0, 4, 1.5), (0, 2, 0.5), (1, 7, 2.0)]
+    got = experiments.report(lambda: spark.createDataFrame(rows, "query_id long, traj_id long, dist double"), str(tmp_path / "report"))
+    assert {(r.query_id, r.best, r.traj_id, r.total, r.pairs) for r in got.collect()} == {(0, 0.5, 2, 2.0, 2), (1, 2.0, 7, 2.0, 1)}
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines[0].startswith("query 0: least 0.500000 with 2, sum 2.000000 over 2 pairs") and len(lines) == 2
+
+
 def test_registry_names():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 

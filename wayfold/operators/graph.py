@@ -85,6 +85,11 @@ def build_index(traj: DataFrame, path: str, rebuild: bool = False, *, k: int, n_
     return load(traj.sparkSession, path)
 
 
+def ranges(edge: DataFrame, links: DataFrame) -> DataFrame:
+    """src, dst, s, e of the given links (src, dst) of a layer; those that it lacks are left out."""
+    return edge.select("src", "dst", "s", "e").join(links.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+
+
 def neighbours(edge: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
     """The first `most` edges of the given sources (src)."""
     got = edge.join(ids, "src", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import points as fp
-from ..operators import clean, evaluate, graph, match, pairs, topk
+from ..operators import clean, evaluate, experiments, graph, match, pairs, topk
 from ..sources import files
 from . import views
 from .shared import all_pairs, shared_dir
@@ -674,12 +674,54 @@ def g4_neighbours(spark, sf_dir):
     return graph.neighbours(edge, edge.select("src").distinct(), 5).select("src", "rank", "dst")
 
 
+@query(_BOTTOM + " SELECT src, dst, s, e FROM edge WHERE rank = 0")
+def g5_ranges(spark, sf_dir):
+    edge = _graph(spark, sf_dir)[1][0]
+    return graph.ranges(edge, edge.filter("rank = 0"))
+
+
+@query(_TOP + " SELECT a AS src, b AS dst FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) - 1 AS r FROM bo) WHERE r < 3")
+def g6_top_neighbours(spark, sf_dir):
+    _, nodes, links = _graph(spark, sf_dir)[1]
+    return graph.neighbours(links, nodes.select(F.col("traj_id").alias("src")), 3).select("src", "dst")
+
+
+@query(
+    _TOP + " SELECT a AS src, (row_number() OVER (PARTITION BY a ORDER BY r) - 1)::INT AS rank, b AS dst, dist FROM (SELECT *, floor(floor(n * 0.8::DOUBLE) * 0.5::DOUBLE) AS front, floor(floor(n * 0.8::DOUBLE) * 0.25::DOUBLE) AS mid, floor(floor(n * 0.8::DOUBLE) * 0.125::DOUBLE) AS back"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) - 1 AS r, count(*) OVER (PARTITION BY a) AS n FROM bo)) WHERE r < front OR (r >= floor((n - mid) / 2) AND r < floor((n - mid) / 2) + mid) OR r >= n - back"
+)
+def r7_portions(spark, sf_dir):
+    """The first, middle and last portions of each representative's list."""
+    return graph.top(views.evt(spark, sf_dir), 4, 0.02, 0.8, (0.5, 0.25, 0.125))[1].select("src", "rank", "dst", "dist")
+
+
 @query()
 def g7_graph_search(spark, sf_dir):
     t, built = _graph(spark, sf_dir)
     return _rounded(graph.search(views.queries(t), t, built, 10))
 
 
+@query(ORACLES["e4_rank_counts"])
+def e10_show_pairs(spark, sf_dir):
+    """The three best pairs of each query as one-pair reports give them, without the seconds."""
+    t = views.emb(spark, sf_dir)
+    q = views.coarse(t)
+    best = topk.brute(q, t, 3).select("query_id", "traj_id").join(q, "query_id").join(t.select("traj_id", F.col("pts").alias("d_pts")), "traj_id")
+    return _rounded(experiments.show_pair(best).select("query_id", "traj_id", "ar", "mr", "rr"))
+
+
+@query(
+    _EMB + _dp(*_SUM, 8, 32, "qemb", "emb", _RANKED.join([", rk AS (", ")"]))
+    + " SELECT 'k' AS setting, v AS value, count(*) AS rows, round(sum(dist), 4) AS total FROM rk JOIN (VALUES (5.0::DOUBLE), (10.0::DOUBLE), (20.0::DOUBLE)) x(v) ON rank <= v GROUP BY v"
+)
+def e12_sweep(spark, sf_dir):
+    """Top-k for several k, without the seconds."""
+    t = views.emb(spark, sf_dir)
+    q = views.coarse(t)
+    got = experiments.sweep(spark, "k", (5, 10, 20), lambda k: topk.brute(q, t, int(k)))
+    return got.select("setting", "value", "rows", F.round("total", 4).alias("total"))
+
+
 @query()
 def e7_search_counters(spark, sf_dir):
     """Restarts, moves, evaluated pairs and candidates of each query, and which part of the true k nearest the search found."""
