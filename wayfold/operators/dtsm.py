@@ -45,9 +45,26 @@ def walk(a: np.ndarray, b: np.ndarray, eps: float, scoring: str = "best") -> tup
 
 def least(a: np.ndarray, b: np.ndarray, metric: str, algorithm: str = "cma", **options) -> tuple[float, int, int, int, int]:
     """The least distance over subtrajectories of a and of b, with the first ranges that reach it.  For short trajectories."""
-    ranges = [(s, e) for s in range(len(a)) for e in range(s, len(a))]
-    if not ranges or not len(b):
-        return float("nan"), -1, -1, -1, -1
-    start, end, dist = kernels.solve([a[s : e + 1] for s, e in ranges], [b] * len(ranges), metric, algorithm, **options)
-    at = int(np.argmin(dist))
-    return float(dist[at]), *ranges[at], int(start[at]), int(end[at])
+    return least_of([a], [b], metric, algorithm, **options)[0]
+
+
+def least_of(a: list[np.ndarray], b: list[np.ndarray], metric: str, algorithm: str = "cma", most: int = 20_000, **options) -> list[tuple[float, int, int, int, int]]:
+    """least of each pair; about `most` ranges are matched at once."""
+    out, at = [], 0
+    while at < len(a):
+        ranges, bounds = [], [0]
+        while at + len(bounds) - 1 < len(a) and (len(bounds) == 1 or len(ranges) < most):
+            k = at + len(bounds) - 1
+            if len(b[k]):
+                ranges += [(k, s, e) for s in range(len(a[k])) for e in range(s, len(a[k]))]
+            bounds.append(len(ranges))
+        if ranges:
+            start, end, dist = kernels.solve([a[k][s : e + 1] for k, s, e in ranges], [b[k] for k, _, _ in ranges], metric, algorithm, **options)
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if lo == hi:
+                out.append((float("nan"), -1, -1, -1, -1))
+            else:
+                best = lo + int(np.argmin(dist[lo:hi]))
+                out.append((float(dist[best]), *ranges[best][1:], int(start[best]), int(end[best])))
+        at += len(bounds) - 1
+    return out

@@ -207,14 +207,6 @@ def pos(c: Costs, m, n, metric: str, delay: int = 10):
     return _scan(c, m, n, metric, None, delay if metric not in ("dtw", "fc") else None)
 
 
-def better_ranges(c: Costs, m, n, metric: str, dist: np.ndarray, strict: bool = False) -> np.ndarray:
-    """How many subtrajectories are closer than dist."""
-    count = np.zeros(len(m), np.int64)
-    for _, got in all_ranges(c, m, n, metric, strict):
-        count += (got < dist[:, None]).sum(axis=1)
-    return count
-
-
 def whole(c: Costs, m, n, metric: str) -> np.ndarray:
     """The distance of the whole query to the whole data."""
     return _prefix_rows(c.sub, c.gq, c.gd, m, metric)[np.arange(len(m)), n - 1]
@@ -250,9 +242,20 @@ def solve(q: list, d: list, metric: str = "dtw", algorithm: str = "cma", eps: fl
     return start, end, dist
 
 
-def count_better(q: list, d: list, dist, metric: str = "dtw", eps: float = points.EPSILON, centre=points.CENTRE, strict: bool = False) -> np.ndarray:
+def count_better(q: list, d: list, dist, metric: str = "dtw", eps: float = points.EPSILON, centre=points.CENTRE, strict: bool = False, cells: int = 3_000_000) -> np.ndarray:
+    """How many subtrajectories of d are closer to q than dist, for each pair; the starts of a pair are the lanes."""
     out = np.zeros(len(q), np.int64)
+    band = points.BAND if metric == "lcss" else None
     for k in range(len(q)):
+        m, n = len(q[k]), len(d[k])
+        if not m or not n:
+            continue
         c = Costs(np.asarray(q[k])[None], np.asarray(d[k])[None], metric, eps, centre)
-        out[k] = better_ranges(c, np.array([len(q[k])]), np.array([len(d[k])]), metric, np.array([dist[k]]), strict)[0]
+        starts, step = np.arange(n - 1 if strict else n), max(1, cells // (m * n))
+        for at in range(0, len(starts), step):
+            place = starts[at : at + step, None] + np.arange(n)
+            inside, place = place < n, np.minimum(place, n - 1)
+            lanes = len(place)
+            got = _prefix_rows(np.ascontiguousarray(c.sub[0][:, place].transpose(1, 0, 2)), np.repeat(c.gq, lanes, axis=0), c.gd[0][place], np.full(lanes, m), metric, band)
+            out[k] += int(((got < dist[k]) & inside).sum())
     return out

@@ -71,7 +71,7 @@ def subtraj_pairs(pairs: DataFrame, metric: str, algorithm: str = "cma", a: str
 
     @F.pandas_udf("dist double, s1 int, e1 int, s2 int, e2 int")
     def least(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([dtsm.least(p, q, metric, algorithm, **options) for p, q in zip(_paths(ax, ay), _paths(bx, by), strict=True)], columns=["dist", "s1", "e1", "s2", "e2"])
+        return pd.DataFrame(dtsm.least_of(_paths(ax, ay), _paths(bx, by), metric, algorithm, **options), columns=["dist", "s1", "e1", "s2", "e2"])
 
     got = pairs.withColumn("r", least(xs(F.col(a)), ys(F.col(a)), xs(F.col(b)), ys(F.col(b))))
     return got.select(*pairs.columns, "r.*")
