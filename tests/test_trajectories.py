@@ -1,8 +1,11 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import clean, dtsm, experiments, graph, kernels, match, naive, topk
+from wayfold.functions import geometry
+from wayfold.operators import blocks, clean, dtsm, experiments, graph, kernels, match, naive, pairs, topk
 from wayfold.plans import registry
 from wayfold.sources import files
 
@@ -111,3 +114,77 @@ def test_search_starts_again_where_candidates_are_few(spark):
 def test_farthest_of_a_long_list(spark):
     dist = spark.range(1, 100_011).selectExpr("0L AS a", "id AS b", "CAST(id AS DOUBLE) AS dist")
     assert topk.farthest_nodes(dist, 0, 2, 2) == [0, 100_010]
+
+
+def test_walks_are_those_of_each_pair():
+    r = np.random.default_rng(4)
+    for size in (4, 7):
+        a, b = ([r.integers(0, size, size=(r.integers(0, 20), 2)).astype(float) for _ in range(80)] for _ in range(2))
+        k = np.arange(80)
+        got = dtsm.walks(kernels.Paths.of(a), kernels.Paths.of(b), k, k, 1.0)
+        assert got.T.tolist() == [[float(x) for x in dtsm.walk(p, q, 1.0)] for p, q in zip(a, b, strict=True)]
+
+
+def trajectories(spark, n, most, seed):
+    return spark.createDataFrame([(i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(paths(n, most, seed))], files.TRAJ)
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(blocks, "met", functools.partial(blocks.met, points=(50, 40), rows=(7, 9)))
+
+
+def test_matches_by_blocks_are_those_of_the_pairs(spark, small_blocks):
+    t = trajectories(spark, 40, 9, 8)
+    q = t.filter("traj_id % 4 = 0").select(F.col("traj_id").alias("query_id"), F.col("pts").alias("q_pts"))
+    for metric, algorithm in (("dtw", "exact"), ("lcss", "exact"), ("fc", "cma"), ("erp", "whole")):
+        want = match.match(pairs.eligible(q, t), metric, algorithm, **OPTIONS).drop("q_pts", "d_pts")
+        got = match.match_all(q, t, metric, algorithm, **OPTIONS)
+        assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+        ranked = topk.brute(q, t, 3, metric, algorithm, **OPTIONS)
+        assert sorted(ranked.collect()) == sorted(topk.ranked(want, 3).select(*ranked.columns).collect())
+
+
+def test_bounds_and_coverage_by_blocks_are_those_of_the_pairs(spark):
+    t = trajectories(spark, 30, 12, 9)
+    q = t.filter("traj_id % 3 = 0").select(F.col("traj_id").alias("query_id"), F.col("pts").alias("q_pts"))
+    rows = pairs.eligible(q, t).select("query_id", "traj_id", pairs.key_bound(F.col("q_pts"), F.col("d_pts"), 4, truncate=False).alias("bound")).collect()
+    own = kernels.Paths.of([np.array(r.pts) for r in t.orderBy("traj_id").collect()])
+    i, j = (np.array([r[c] for r in rows]) for c in ("query_id", "traj_id"))
+    assert pairs.key_bounds(own, own, i, j, 4, truncate=False).tolist() == [r.bound for r in rows]
+    want = pairs.grid_coverage(q, clean.points_of(t), 10, 0.2, (-1.0, -1.0), 0.4).select("query_id", "traj_id").filter("query_id <> traj_id")
+    want = want.join(pairs.eligible(q, t).select("query_id", "traj_id"), ["query_id", "traj_id"], "left_semi").collect()
+    got = match.match_all(q, t, chosen=lambda a, b: pairs.covered(a, b, 10, 0.2, (-1.0, -1.0), 0.4)).select("query_id", "traj_id").collect()
+    assert sorted(got) == sorted(want) and got
+
+
+def test_candidates_by_blocks_are_those_of_the_joins(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "FEW", 7)
+    monkeypatch.setattr(pairs, "MANY", 11)
+    t = trajectories(spark, 40, 12, 11)
+    box = lambda c: geometry.mbr(F.col(c))
+    every = t.selectExpr("traj_id AS src", "pts AS p").crossJoin(t.selectExpr("traj_id AS dst", "pts AS r")).filter("src <> dst")
+    gaps = every.select("src", "dst", geometry.box_distance(box("p"), box("r")).alias("gap")).collect()
+    near = pairs.nearest_boxes(t, t, 5)
+    want = {(s, k + 1, d, gap) for s in range(40) for k, (gap, d) in enumerate(sorted((r.gap, r.dst) for r in gaps if r.src == s)[:5])}
+    assert {tuple(r) for r in near.collect()} == want
+    far = {(r.src, r.dst) for r in pairs.far_random(near, t, 3).collect()}
+    taken = {(s, d) for s, _, d, _ in want}
+    order = lambda s, d: (((d + s) % (1 << 31) * 2654435761 + 7) % (1 << 32), d)
+    assert far == {(s, d) for s in range(40) for d in sorted((d for d in range(40) if d != s and (s, d) not in taken), key=lambda d, s=s: order(s, d))[:3]}
+    pts = clean.points_of(t)
+    around = pairs.cell_neighbours(pts, pairs.cells_of(pts, (0.0, 0.0), 0.5), (0.0, 0.0), 0.5)
+    counted = around.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(pairs.neighbour_counts(t, (0.0, 0.0), 0.5).collect()) == sorted(counted.collect())
+    found = pairs.cover(pairs.within_eta(around, pts, 0.3, 0.5, (0.0, 0.0)))
+    assert sorted(pairs.cover_all(t, (0.0, 0.0), 0.5, 0.3).collect()) == sorted(found.collect())
+    some = found.join(near.select("src", "dst"), ["src", "dst"], "left_semi")
+    assert sorted(pairs.cover_all(t, (0.0, 0.0), 0.5, 0.3, near).collect()) == sorted(some.collect())
+
+
+def test_a_layer_of_the_graph_is_built_alone(spark, tmp_path):
+    t = trajectories(spark, 12, 9, 12)
+    options = {"k": 3, "n_near": 5, "origin": (0.0, 0.0), "size": 0.5, "eta": 0.4, "eps": 0.4, "cells": 2}
+    (edge,) = graph.build_index(t, str(tmp_path), layers=("bottom",), **options)
+    assert edge.count() and [p.name for p in tmp_path.iterdir()] == ["edge"]
+    assert len(graph.build_index(t, str(tmp_path), **options)) == 3
