@@ -88,3 +88,11 @@ def test_rows_that_share_a_doc_id_keep_their_own_texts(spark):
     lines = frame(spark, [(None, "first line of its own\n" + one), (None, two + "\n" + three), (3, one + "\nother words stay here")])
     got = Counter((r.doc_id, r.kept_text) for r in line_dedup.dedup_lines(lines).collect())
     assert got == Counter([(None, "first line of its own\n" + one), (None, two + "\n" + three), (3, "other words stay here")])
+
+
+def test_quality_rules_trust_every_good_label(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 17}" for j in range(1, 15 + i % 5))) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).filter("doc_id % 3 = 0")
+    want = sorted(quality_rules.judge(docs, labels).select("doc_id", "llr", "kept").collect())
+    monkeypatch.setattr(quality_rules, "TRUSTED", 3)  # more than that meet by a shuffle, all of them
+    assert sorted(quality_rules.judge(docs, labels).select("doc_id", "llr", "kept").collect()) == want

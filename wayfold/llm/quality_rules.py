@@ -7,8 +7,8 @@ ratio between the two, divided by its number of n-grams, and a text is kept if t
 reaches a threshold: a fixed margin under the mean score of the trusted texts, so every
 document is judged alike.
 
-Trusted texts are a sample, of at most TRUSTED rows, of those that the labels call good;
-the corpus counts cover every document.  Null counts as empty; a text without words
+Trusted texts are all those of the training folds that the labels call good, and the corpus
+counts cover every document; nothing is sampled.  Null counts as empty; a text without words
 fails the base rules.  Each row gets its row, repeated rows too; extra columns are not
 read; no rows give no rows.  Without trusted texts all ratios are 0 and the base rules decide.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the trusted sample, in rows (doc_id, label): under 1 MB, so it is broadcast.
-TRUSTED = 20_000
+#: Trusted doc_ids up to which they are broadcast; more meet the documents by a shuffle.
+TRUSTED = 500_000
 #: Hash buckets for each n; the broadcast table has 2 * BUCKETS numbers.
 BUCKETS = 1 << 15
 #: How far below the trusted mean a score may lie, in nats for each n-gram.
@@ -78,8 +78,8 @@ def with_ngrams(d: DataFrame) -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """The log ratio of each bucket; trusted: at most TRUSTED doc_ids."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("t"))), "doc_id", "left")
+    """The log ratio of each bucket; trusted: different doc_ids."""
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("t")), "doc_id", "left")
     d = marked.select("doc_id", words(F.col("text")).alias("ws"), F.coalesce("t", F.lit(0)).alias("t"))
     grams = with_ngrams(d).select("t", F.explode_outer("grams").alias("g"))  # explode() would infer a filter that computes the n-grams again
     counts = grams.groupBy("g").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw")).collect()  # 2 * BUCKETS rows at most
@@ -102,10 +102,11 @@ def with_score(d: DataFrame, weights: list[float]) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, llr and kept of every row."""
-    good = common.sampled_labels(labels.filter("quality = 1"), "quality", TRUSTED)
-    trusted = common.stash(good, "trusted")
+    good = labels.filter(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & ~common.held_out())
+    trusted = common.stash(good.select("doc_id").distinct(), "trusted")
+    trusted = trusted.hint("broadcast" if trusted.count() <= TRUSTED else "merge")
     weights = ratios(docs, trusted)
-    seen = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id")), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("ws"))
+    seen = docs.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("ws"))
     mean = with_score(seen.filter(F.size("ws") >= MIN_WORDS), weights).agg(F.avg("llr")).first()[0]
     least = round((mean or 0.0) - MARGIN, 9)
     d = with_score(with_counts(docs), weights).withColumn("base_failed", base_failed())
