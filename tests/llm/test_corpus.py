@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfold.llm import bpe_codec, edit_kernels, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, words
+from wayfold.llm import bpe_codec, common, edit_kernels, exact_dedup, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -341,3 +342,41 @@ def test_lines_against_brute_force(spark):
                 label = [least if x == most else x for x in label]
     got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
     assert got == {i: int(label[i] != i) for i in range(len(lines))}
+
+
+def test_lines_leave_no_scratch_that_is_not_read(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    rows = [(i, "\n".join(" ".join([*words, str(i), *words[::-1], str(k)]) for k in range(3)) + "\nsingle") for i in range(200)]
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, root = spark.conf.get(key, None), Path(common.scratch_path(spark, "x").removeprefix("file://")).parent
+    found = lambda: set(root.glob("*"))
+    there = found()
+    got = line_dedup.dedup_lines(frame(spark, rows))
+    left = {p.name.rpartition("-")[0] for p in found() - there}
+    assert {"lines", "known-lines"} <= left and not left & {"line-classes", "distinct-lines", "meetings", "met", "passing", "line-links", "rooted", "stays"}
+    assert sum(r.n_removed for r in got.collect()) == 798 and spark.conf.get(key, None) == before  # one "single" and one of the similar lines stay
+
+
+def test_dealt_keys_come_back_with_their_lines(spark):
+    r = np.random.default_rng(3)
+    lines, want = [], {}
+    for k, at in enumerate([*range(70_000), *range(1 << 33, (1 << 33) + 500)]):  # more than a row of the shuffle can number, and a gap
+        blocks = r.integers(0, 1 << 20, 3) << 27 | 5
+        lines.append((at, blocks))
+        for b in blocks.tolist():
+            want.setdefault(b & (1 << 8 * line_dedup.KEY) - 1, []).append(at)
+    own = np.repeat(np.arange(len(lines)), 3)
+    keys = line_dedup._packed_keys(own, np.concatenate([b for _, b in lines]), len(lines))
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in lines]), keys], ["id", "keys"])
+    got = {}
+    dealt = [batch.slice(at, 9_000) for at in range(0, len(lines), 9_000)]
+    parts = {}
+    for b in line_dedup._dealer(7)(iter(dealt)):
+        for k in range(b.num_rows):
+            parts.setdefault(b.column(0)[k].as_py(), []).append(b.slice(k, 1))
+    assert len(parts) > 1
+    for rows in parts.values():
+        for b in line_dedup._meetings(iter(rows)):
+            for key, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got.setdefault(key, []).append(line)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if len(v) > 1}
