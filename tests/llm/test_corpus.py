@@ -380,3 +380,32 @@ def test_dealt_keys_come_back_with_their_lines(spark):
             for key, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got.setdefault(key, []).append(line)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if len(v) > 1}
+
+
+def test_edit_distances_up_to_a_bound(monkeypatch):
+    random.seed(12)
+    pairs = []
+    for n in [5, 63, 64, 65, 128, 129, 300, 700] * 40:
+        a = "".join(random.choice("abcdefgh é中") for _ in range(n))
+        b = list(a)
+        for _ in range(random.choice([0, 1, n // 10, n // 5, n // 4])):
+            k = random.randrange(len(b) + 1)
+            b[k : k + random.randint(0, 2)] = random.choice(["", "z", "abcdefgh" * random.choice([0, 0, 4])])
+        pairs.append((a, "".join(b)))
+    want = edit_kernels.edit_distances(pairs)
+    for few in (0, edit_kernels.FEW, 1 << 30):  # all together, and each alone
+        monkeypatch.setattr(edit_kernels, "FEW", few)
+        for share in (0.05, 0.2, 0.5):
+            enough = np.array([share * max(len(a), len(b)) for a, b in pairs]) + 1e-9
+            assert ((edit_kernels.edit_distances(pairs, enough) <= enough) == (want <= enough)).all()
+    assert 40 < (want <= 0.2 * np.array([max(len(a), len(b)) for a, b in pairs])).sum() < 280
+
+
+def test_a_pair_of_lines_is_compared_once(monkeypatch):
+    a, b = (" ".join(f"{x}{k} word{k}" for k in range(20)) for x in "ab")
+    n = 12  # blocks that both lines have
+    columns = {"key": range(n), "u": [0] * n, "v": [0] * n, "block": [0] * n}
+    rows = [{k: list(v)[i] for k, v in columns.items()} | {"id": at, "n": len(x), "s1": 0, "s2": 0, "line": x} for i in range(n) for at, x in enumerate((a, b))]
+    seen = []
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs: seen.extend(pairs) or np.zeros(len(pairs), bool))
+    assert list(line_dedup._verify(iter([pa.RecordBatch.from_pylist(rows)]))) == [] and len(seen) == 1
