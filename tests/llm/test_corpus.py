@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -409,3 +410,19 @@ def test_a_pair_of_lines_is_compared_once(monkeypatch):
     seen = []
     monkeypatch.setattr(line_dedup, "similar", lambda pairs: seen.extend(pairs) or np.zeros(len(pairs), bool))
     assert list(line_dedup._verify(iter([pa.RecordBatch.from_pylist(rows)]))) == [] and len(seen) == 1
+
+
+def test_simhashes_hold_the_counts_of_few_lines(monkeypatch):
+    random.seed(13)
+    lines = [" ".join(random.choice("abcdefgh") * random.randint(1, 9) for _ in range(random.randint(1, 12))).encode() for _ in range(20_000)]
+    tracemalloc.start()
+    got = line_dedup.simhashes(lines)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 70e6  # the counts of all lines take 82 MB
+    some = [*lines[:40], b"".join(lines[:90]), b"x", b"".join(lines[50:400])]
+    whole = line_dedup.simhashes(some)
+    assert (whole[:40] == got[:40]).all()
+    for piece in (300, 1000, 2048):
+        monkeypatch.setattr(line_dedup, "PIECE", piece)  # long lines come in pieces
+        assert (line_dedup.simhashes(some) == whole).all()
