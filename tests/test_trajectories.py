@@ -229,3 +229,15 @@ def test_rounding_often_is_rounding(spark):
     some += (np.random.default_rng(5).normal(size=2000) * 10.0 ** np.random.default_rng(6).integers(-7, 5, 2000)).round(7).tolist()
     t = spark.createDataFrame([(x,) for x in some], "x double")
     assert t.select("x", registry.r6("x").alias("a"), registry.r6_often(F.col("x")).alias("b")).filter("NOT a <=> b").count() == 0
+
+
+def test_walks_in_bytes_are_those_of_each_pair():
+    r = np.random.default_rng(14)
+    for size, grow in ((4, 1.0), (9, 1e-3), (6, 1e6)):
+        a, b = ([r.integers(0, size, size=(n, 2)) * grow for n in r.integers(0, 25, 40)] for _ in range(2))
+        a[3], a[4], b[5] = np.full((9, 2), np.nan), np.full((9, 2), np.inf), np.full((9, 2), np.inf)
+        a[6] = r.integers(0, size, size=(260, 2)) * grow  # its scores may not fit a byte
+        i, j = (x.ravel() for x in np.indices((40, 40)))
+        with np.errstate(invalid="ignore"):
+            want = [[float(x) for x in dtsm.walk(a[x], b[y], grow)] for x, y in zip(i, j, strict=True)]
+        assert dtsm.walks(kernels.Paths.of(a), kernels.Paths.of(b), i, j, grow, lanes=64).T.tolist() == want
