@@ -241,3 +241,15 @@ def test_walks_in_bytes_are_those_of_each_pair():
         with np.errstate(invalid="ignore"):
             want = [[float(x) for x in dtsm.walk(a[x], b[y], grow)] for x, y in zip(i, j, strict=True)]
         assert dtsm.walks(kernels.Paths.of(a), kernels.Paths.of(b), i, j, grow, lanes=64).T.tolist() == want
+
+
+def test_lists_of_the_top_layer_are_those_of_sorted_pairs(spark, small_blocks):
+    t = trajectories(spark, 30, 12, 15)
+    want = {}
+    for r in match.greedy_scores(t, 0.4).collect():
+        want.setdefault(r.a, []).append((r.dist, r.b, r.s2, r.e2))
+        want.setdefault(r.b, []).append((r.dist, r.a, r.s1, r.e1))
+    got = match.greedy_lists(t, 0.4, lambda n: np.array([0, 3, n - 1]))
+    assert got.dtypes == [("src", "bigint"), ("rank", "int"), ("dst", "bigint"), ("dist", "double"), ("s", "int"), ("e", "int")]
+    rows = {(a, k, b, d, s, e) for a, own in want.items() for k, (d, b, s, e) in enumerate(sorted(own)[x] for x in (0, 3, len(own) - 1))}
+    assert {tuple(r) for r in got.collect()} == rows and len(rows) == 90
